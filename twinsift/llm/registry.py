@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
-from . import license_scan, media
+from pyspark.sql import DataFrame, SparkSession
+
+from . import language_id, license_scan, media, sentencepiece_codec
 from .common import table
 
+
+def tokenizer() -> str:
+    """Place of the public SentencePiece model; TWINSIFT_SENTENCEPIECE names another one."""
+    import os
+
+    if path := os.environ.get("TWINSIFT_SENTENCEPIECE"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
 QUERIES = {
     "op1_license_scan": lambda spark, d: license_scan.scan_licenses(table(spark, d, "documents")),
+    "op7_language_id": op7,
+    "op8_sentencepiece": lambda spark, d: sentencepiece_codec.code_texts(table(spark, d, "documents"), tokenizer()),
     "op9_media_columns": lambda spark, d: media.media_of_texts(table(spark, d, "documents")),
 }
 
