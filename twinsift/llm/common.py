@@ -104,3 +104,48 @@ def cut(rows: DataFrame) -> DataFrame:
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sizes: tuple[int, int], seed: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
+    """A bounded training sample: (text, label) of at most `sizes` ids labelled 0 and 1, outside the held-out fold.
+
+    The ids are those with the smallest hashes, so each run has the same ones. Rows without id, label or text
+    are left out; an id that several rows share counts with each row, up to twice the sample's size in all.
+    """
+    spark = docs.sparkSession
+    ids: list[tuple[int, int]] = []
+    free = labels.where(remainder(F.col(doc_id), 3) != 1).select(doc_id, F.col(label).cast("int").alias(label))
+    for value in (0, 1):
+        own = free.where(F.col(label) == value).select(doc_id).distinct()
+        ids += [(r[0], value) for r in own.orderBy(F.xxhash64(F.col(doc_id), F.lit(seed)), doc_id).limit(sizes[value]).collect()]
+    if not ids:
+        return []
+    chosen = F.broadcast(spark.createDataFrame(ids, f"_id {docs.schema[doc_id].dataType.simpleString()}, _label int"))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text IS NOT NULL").join(chosen, "_id")
+    return [(r["_text"], r["_label"]) for r in sorted(rows.limit(2 * sum(sizes)).collect(), key=lambda r: (r["_id"], r["_label"], r["_text"]))]
+
+
+def pieces(text: str, limit: int = 1 << 20) -> Iterator[str]:
+    """The text in pieces of about `limit` characters that end at white space: bounds the lists made from it."""
+    at = 0
+    while len(text) - at > limit:
+        end = at + limit
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
+def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, steps: int = 60) -> np.ndarray:
+    """Weights (the last one the bias) of a regularised logistic regression, by Newton's method."""
+    x = np.c_[x, np.ones(len(x))]
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = sigmoid(x @ w)
+        h = (x * (p * (1 - p))[:, None]).T @ x / len(y) + decay * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (p - y) / len(y) + decay * w)
+        w -= step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

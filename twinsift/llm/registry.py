@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, media, sentencepiece_codec
+from . import chat_format, language_id, license_scan, media, quality_crf, sentencepiece_codec, toxicity
 from .common import table
 
 
@@ -19,6 +19,16 @@ def tokenizer() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return quality_crf.score_quality(docs, quality_crf.learn(docs, table(spark, d, "labels")))
+
+
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, d, "labels")))
+
+
 def op7(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return language_id.identify(docs, language_id.learn(docs))
@@ -26,9 +36,12 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": lambda spark, d: license_scan.scan_licenses(table(spark, d, "documents")),
+    "op2_chat_format": lambda spark, d: chat_format.digest_chat(chat_format.format_chat(chat_format.planted(table(spark, d, "conversations")))),
+    "op3_quality_crf": op3,
     "op7_language_id": op7,
     "op8_sentencepiece": lambda spark, d: sentencepiece_codec.code_texts(table(spark, d, "documents"), tokenizer()),
     "op9_media_columns": lambda spark, d: media.media_of_texts(table(spark, d, "documents")),
+    "op10_toxicity": op10,
 }
 
 ORACLES: dict[str, str] = {}
