@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, license_scan, media, quality_crf, sentencepiece_codec, toxicity
+from . import chat_format, language_id, license_scan, media, quality_crf, sentencepiece_codec, simhash, toxicity
 from .common import table
 
 
@@ -38,6 +38,7 @@ QUERIES = {
     "op1_license_scan": lambda spark, d: license_scan.scan_licenses(table(spark, d, "documents")),
     "op2_chat_format": lambda spark, d: chat_format.digest_chat(chat_format.format_chat(chat_format.planted(table(spark, d, "conversations")))),
     "op3_quality_crf": op3,
+    "op4_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op7_language_id": op7,
     "op8_sentencepiece": lambda spark, d: sentencepiece_codec.code_texts(table(spark, d, "documents"), tokenizer()),
     "op9_media_columns": lambda spark, d: media.media_of_texts(table(spark, d, "documents")),
