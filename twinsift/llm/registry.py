@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, license_scan, media, mixing, quality_crf, sentencepiece_codec, simhash, toxicity
+from . import chat_format, language_id, license_scan, media, mixing, quality_crf, quality_rules, sentencepiece_codec, simhash, toxicity
 from .common import table
 
 
@@ -40,6 +40,7 @@ QUERIES = {
     "op3_quality_crf": op3,
     "op4_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op5_mixing": lambda spark, d: mixing.mix_amounts(table(spark, d, "documents")),
+    "op6_quality_rules": lambda spark, d: quality_rules.judge(table(spark, d, "documents")),
     "op7_language_id": op7,
     "op8_sentencepiece": lambda spark, d: sentencepiece_codec.code_texts(table(spark, d, "documents"), tokenizer()),
     "op9_media_columns": lambda spark, d: media.media_of_texts(table(spark, d, "documents")),
