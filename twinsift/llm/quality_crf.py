@@ -11,10 +11,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_function, labelled, remainder
+from .common import batch_function, labelled, remainder, slices
 
 #: Bounds of the labelled sample: ids labelled 0 and 1.
 SAMPLE = (1500, 3500)
@@ -169,7 +170,8 @@ def fit(rows: list[tuple[str, int]], epochs: int = 40, batch: int = 128, decay:
     k = 3 * len(NAMES)
     if len({v for _, v in rows}) < 2:
         return LineField(np.zeros(k), np.ones(k), np.zeros(k), 2.0, np.zeros((2, 2)))
-    x, counts, _ = states([t for t, _ in rows])
+    parts = [states(some)[:2] for some in slices(pa.array([t for t, _ in rows], pa.string()))]  # in slices, for the driver's memory
+    x, counts = (np.concatenate(v) for v in zip(*parts, strict=True))
     mean, scale = x.mean(0), x.std(0) + 1e-6
     x = np.clip((x - mean) / scale, -8, 8)
     y = np.array([v for _, v in rows])

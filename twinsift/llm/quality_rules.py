@@ -36,7 +36,7 @@ def _letters() -> Column:
 RULES = (
     Rule("word length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
     Rule("symbols", lambda: 5 * F.col("n_symbols") > F.col("n_words")),
-    Rule("repeated lines", lambda: 10 * F.col("n_dup_lines") > 3 * F.size("lines")),
+    Rule("repeated lines", lambda: (F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * F.size("lines"))),
     Rule("letters", lambda: 2 * _letters() < F.col("word_chars")),
     Rule("capitals", lambda: 2 * F.regexp_count("text", F.lit(r"\p{Lu}")) > F.col("word_chars")),
     Rule("shouting", lambda: 5 * F.regexp_count("text", F.lit(r"!!")) > F.col("n_words")),
