@@ -235,12 +235,20 @@ class Codec:
 SCHEMA = "n_chars long, n_pieces long, n_bytes_pieces long, ids_sha256 string, decoded_sha256 string, same boolean"
 
 
-def encode_texts(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The rows with the column `ids` (array<int>, replaced if there) of each whole text; null for a null text."""
+def encode_texts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """The rows without their text but with ids (array<int>), n_pieces and same (the decoded text equals the text).
+
+    A null text counts as empty and has no ids. Columns of `docs` with these names are replaced.
+    """
     codec = Codec(model)
-    made = text_function(lambda t: (codec.encode(t),), "ids array<int>", docs.sparkSession)(F.col(text))["ids"]
-    rest = [c for c in docs.columns if c != ids]
-    return docs.select(*rest, F.when(F.col(text).isNotNull(), made).alias(ids)) if ids != text else docs.withColumn(ids, made)
+
+    def code(t: str) -> tuple:
+        ids = codec.encode(t)
+        return ids, len(ids), codec.decode(ids) == t.replace(MARK, " ")
+
+    made = text_function(code, "ids array<int>, n_pieces long, same boolean", docs.sparkSession)(F.col(text))
+    rest = [c for c in docs.columns if c not in (text, "ids", "n_pieces", "same")]
+    return docs.select(*rest, made.alias("_coded")).select(*rest, "_coded.*")
 
 
 def digest(text: str, codec: Codec) -> tuple:
