@@ -74,7 +74,10 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def fs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
+    return as_fs_events(table(spark, sf_dir, "events"))
+
+
+def as_fs_events(rows: DataFrame) -> DataFrame:
     path = F.concat(F.lit("/data/u"), F.col("user_id").cast("string"), F.lit("/"), F.get_json_object("props", "$.k"))
     return rows.select("event_id", "ts", path.alias("path"), F.when(F.col("event_type") == "error", "Deleted").otherwise("Modified").alias("type"), "event_type", "value")
 

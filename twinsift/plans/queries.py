@@ -28,10 +28,10 @@ def query(name: str, sql: str | None = None):
 # scans and scalar functions
 
 
-@query("scan_regular_files", f"WITH {X.FILES} SELECT path, size FROM files WHERE source <> 'src19' AND NOT (source = 'src18' AND lang = 'es')")
+@query("scan_regular_files", f"WITH {X.FILES} SELECT path, size FROM files WHERE source <> 'src19' AND path NOT LIKE '/data/src18/es/%'")
 def _(spark, d):
     # one source stands for directories, part of another one for files that could not be read
-    scanned = X.files(spark, d).withColumns({"is_regular": F.col("source") != "src19", "error": F.when((F.col("source") == "src18") & (F.col("lang") == "es"), "EACCES")})
+    scanned = X.files(spark, d).withColumns({"is_regular": F.col("source") != "src19", "error": F.when(F.col("path").like("/data/src18/es/%"), "EACCES")})
     return detect.regular_files(scanned).select("path", "size")
 
 
@@ -333,3 +333,45 @@ def _(spark, d):
     n = F.col("id")
     open_ = ops.by_status(X.op_log(spark, d), "planned").withColumns({"canonical_exists": n % 2 == 0, "duplicate_exists": (n % 3 == 2) & (n % 4 < 2), "backup_exists": n % 5 < 3, "same_inode": n % 8 < 4})
     return ops.recovery(open_).select("id", "action", "result", "op_status", "result_message")
+
+
+# sources, streams and side effects
+
+
+@query("scan_files")
+def _(spark, d):
+    from ..sources import filesystem
+
+    # the driver's own data folder as a file tree; rows only, since SQL cannot list it
+    root = d.removeprefix("file://").removeprefix("file:")
+    return filesystem.scan(spark, [root]).select("path", "is_regular", "size", "error")
+
+
+@query("stream_fold_state", f"{_LIVE} SELECT path, event_id FROM last_ WHERE type = 'Modified'")
+def _(spark, d):
+    from ..sources.shared import folder
+    from ..streaming.follow import fold_stream
+
+    raw = spark.readStream.schema(X.table(spark, d, "events").schema).parquet(f"{d}/events.parquet")
+    place = folder(spark, "fold")
+    state = fold_stream(X.as_fs_events(raw).select("path", "type", "ts", "event_id"), f"{place}/state", ("ts", "event_id"), f"{place}/checkpoint")
+    return state().where("type = 'Modified'").select("path", "event_id")
+
+
+@query("apply_files", """SELECT first_ AS canonical, n_name AS duplicate, 'Linked' AS status
+FROM (SELECT n_name, min(n_name) OVER (PARTITION BY n_regionkey) AS first_ FROM nation) WHERE n_name <> first_""")
+def _(spark, d):
+    import os
+    import tempfile
+
+    from .session import Options, Session
+
+    # each nation is a file whose content is its region; links are made in a scratch folder of the driver
+    top = tempfile.mkdtemp(prefix="twinsift-apply-")
+    os.mkdir(f"{top}/data")
+    for r in X.table(spark, d, "nation").toLocalIterator():
+        with open(f"{top}/data/{r['n_name']}", "w") as f:
+            f.write(f"region {r['n_regionkey']}")
+    found = Session(spark, f"file://{top}/index", Options((f"{top}/data",), dry_run=False)).run_full_scan()
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    return found.results.select(name("canonical_path").alias("canonical"), name("duplicate_path").alias("duplicate"), "status")
