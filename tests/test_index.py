@@ -1,0 +1,63 @@
+from __future__ import annotations
+
+from twinsift.operators import index
+
+SCHEMA = "path string, size long, mtime_ns long, inode long, device long, mode long, uid long, gid long, digest string, last_seen long"
+
+
+def found(spark, *rows):
+    return spark.createDataFrame([(p, size, 1, inode, 7, 420, 1, 1, digest, seen) for p, inode, size, digest, seen in rows], SCHEMA)
+
+
+def start(spark, *rows):
+    return index.split(found(spark, *rows))
+
+
+def paths(frame):
+    return sorted(r["path"] for r in frame.collect())
+
+
+def test_upsert_replaces_whole_rows(spark):
+    state = start(spark, ("/f", 1, 10, "a", 1))
+    after = index.upsert(*state, found(spark, ("/f", 1, 20, "b", 2), ("/g", 2, 5, "c", 2)))
+    assert {(r["path"], r["size"], r["digest"], r["last_seen"]) for r in index.entries(*after).collect()} == {("/f", 20, "b", 2), ("/g", 5, "c", 2)}
+
+
+def test_an_inode_that_its_last_path_left_goes(spark):
+    state = start(spark, ("/f", 1, 10, "a", 1), ("/g", 2, 10, "a", 1), ("/h", 2, 10, "a", 1))
+    after_paths, after_inodes = index.upsert(*state, found(spark, ("/f", 3, 10, "z", 2), ("/g", 3, 10, "z", 2)))
+    assert sorted(r["inode"] for r in after_inodes.collect()) == [2, 3]
+    assert after_paths.count() == 3
+
+
+def test_aliases_share_the_inodes_row(spark):
+    state = start(spark, ("/a", 1, 10, "old", 1), ("/b", 1, 10, "old", 1))
+    after = index.upsert(*state, found(spark, ("/a", 1, 11, "new", 2)))
+    assert {(r["path"], r["digest"], r["last_seen"]) for r in index.entries(*after).collect()} == {("/a", "new", 2), ("/b", "new", 1)}
+
+
+def test_lookups(spark):
+    p, i = start(spark, ("/a", 101, 1, "cd", 1), ("/b", 102, 1, "cd", 2), ("/c", 103, 1, "00", 3), ("/c2", 103, 1, "00", 4))
+    e = index.entries(p, i)
+    assert [r["path"] for r in index.find_by_digest(e, "cd").collect()] == ["/a", "/b"]
+    assert index.find_by_path(e, "/missing").count() == 0
+    assert index.find_by_path(e, "/b").first()["inode"] == 102
+    row = index.find_by_inode(p, i, 7, 103).first()
+    assert (row["path"], row["last_seen"]) == ("/c", 4)
+    assert index.find_by_inode(p.where("inode <> 103"), i, 7, 103).first()["path"] == ""
+
+
+def test_retention_is_by_path_and_keeps_what_was_seen_at_the_cutoff(spark):
+    p, i = start(spark, ("/old", 1, 1, "x", 100), ("/new", 1, 1, "x", 1000), ("/at", 2, 1, "y", 500), ("/gone", 3, 1, "z", 499))
+    kept = index.retain(p, 500)
+    assert paths(kept) == ["/at", "/new"]
+    assert sorted(r["inode"] for r in index.orphans(kept, i).collect()) == [3]
+    assert sorted(r["inode"] for r in index.prune(kept, i).collect()) == [1, 2]
+    assert paths(index.retain(p, 500, ["/gone"])) == ["/at", "/gone", "/new", "/old"]
+
+
+def test_removal(spark):
+    state = start(spark, ("/a", 1, 1, "x", 1), ("/b", 1, 1, "x", 1), ("/c", 2, 1, "y", 1))
+    p, i = index.remove(*state, spark.createDataFrame([("/a",), ("/c",), ("/unknown",)], "path string"))
+    assert paths(p) == ["/b"]
+    assert [r["inode"] for r in i.collect()] == [1]
