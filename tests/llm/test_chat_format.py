@@ -1,0 +1,71 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import pytest
+from helpers import table
+
+from twinsift.llm.chat_format import ChatTemplate, Machine, Reader, digest_chat, format_chat, planted
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+BITS = ["\\", "###", " </turn>\n", "</turn>", " ", "\n", "a", "### User: ", "\\\\", "é", "<|im_end|>", "<|im_start|>"]
+
+
+def brute(rows) -> list[tuple]:
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is None, r[1] or 0, r[2] is not None, r[2] or "", r[3] or ""))
+    groups: dict = {}
+    for c, _, role, text in order:
+        groups.setdefault(c, []).append((role or "", text or ""))
+    out = []
+    for c, turns in groups.items():
+        all_ = "".join(f"{r}\n{t}\n" for r, t in turns)
+        loss = "".join(t for r, t in turns if r == "assistant")
+        out.append((c, len(turns), hashlib.sha256(all_.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("template", [ChatTemplate(), ChatTemplate(head="<|im_start|>{role}\n", tail="<|im_end|>\n")])
+def test_any_text_reads_back(template):
+    rng = random.Random(2)
+    machine, reader = Machine(template), Reader(template)
+    for _ in range(3000):
+        turns = [(rng.choice(["user", "assistant", "system", "", "odd role", "x61", "User"]), "".join(rng.choices(BITS, k=rng.randrange(9)))) for _ in range(rng.randrange(1, 4))]
+        flat = "".join(s for r, t in turns for s, _ in machine.turn(r, t))
+        assert [x[:2] for x in reader.turns(flat)] == turns
+
+
+@pytest.mark.parametrize(("roles", "fault"), [("ua", ""), ("sua", ""), ("uau", ""), ("a", "assistant after the start"), ("uu", "user after user"), ("s", "ends with system"), ("us", "system after user"), ("u?", "no role after user")])
+def test_turn_order(roles, fault):
+    m = Machine(ChatTemplate())
+    for r in roles:
+        m.turn({"u": "user", "a": "assistant", "s": "system", "?": ""}[r], "x")
+    assert m.end() == fault
+
+
+def test_segments_and_flags():
+    assert Machine(ChatTemplate()).turn("assistant", "a \\ ### </turn>") == [("### Assistant: ", False), ("a \\\\ \\### \\</turn>", True), (" </turn>\n", False)]
+
+
+def test_digests_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice([None, "", "".join(rng.choices(BITS, k=6))])) for c in range(30) for t in range(rng.randrange(1, 9))]
+    rows += [(None, 1, "user", "no id"), (None, 0, "assistant", None), (50, None, "user", "last"), (50, 0, "user", "tie"), (50, 0, "user", "tie"), (50, 0, "assistant", "tie")]
+    rows += [(60, t, "user" if t % 2 == 0 else "assistant", f"turn {t} " * 3) for t in range(3000)] + [(61, 0, "assistant", "y" * 2_000_000)]
+    frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS seq", "'x' AS segment", "'x' AS fault").repartition(3)
+    got = digest_chat(format_chat(frame))
+    assert table(got.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")) == brute(rows)
+    assert got.where("conv_id = 60").first()["valid"]
+    assert format_chat(frame).where("loss").selectExpr("sum(length(segment)) > 0 AS some").first()["some"]
+
+
+def test_the_planted_conversation(spark):
+    row = digest_chat(format_chat(planted(spark.createDataFrame([], SCHEMA)))).first()
+    said = "\\### Assistant: </turn> ok"
+    assert (row["conv_id"], row["n_turns"], row["loss_chars"]) == (-7, 2, len(said))
+    assert row["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert row["formatted_chars"] > 2 * len(said)
+
+
+def test_no_rows(spark):
+    assert digest_chat(format_chat(spark.createDataFrame([], SCHEMA))).count() == 0

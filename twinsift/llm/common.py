@@ -126,11 +126,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sizes: tuple[int, i
 
 
 def pieces(text: str, limit: int = 1 << 20) -> Iterator[str]:
-    """The text in pieces of about `limit` characters that end at white space: bounds the lists made from it."""
+    """The text in pieces of about `limit` characters that end before ASCII white space: bounds the lists made from it."""
     at = 0
     while len(text) - at > limit:
         end = at + limit
-        while end < len(text) and not text[end].isspace():
+        while end < len(text) and text[end] not in " \t\n\v\f\r":
             end += 1
         yield text[at:end]
         at = end

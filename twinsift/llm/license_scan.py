@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_function
+from .common import ascii_lower, pieces, text_function
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -75,6 +75,7 @@ class RareIndex:
             for w in chosen:
                 self.postings[w].append((i, places[w]))
         self.postings = dict(self.postings)
+        self.longest = max(len(t.words) for t in self.templates)
 
     @staticmethod
     def _template(label: str, text: str, phrases: tuple[str, ...], base: bool) -> Template:
@@ -107,13 +108,21 @@ class RareIndex:
         return hit / sum(self.idf[w] for w in own)
 
     def scan(self, text: str) -> tuple:
-        words = WORDS.findall(ascii_lower(text))
-        found = self.places(words)
+        """One text, piece by piece; each piece begins with the last words of the one before, so none hides a place."""
+        found: dict[tuple[int, int], float] = {}
+        words: list[str] = []
+        done = 0  # words before `words`
+        for piece in pieces(ascii_lower(text)):
+            keep = words[-2 * self.longest :]
+            done += len(words) - len(keep)
+            words = keep + WORDS.findall(piece)
+            for t, s in self.places(words):
+                found[t, done + s] = max(self.coverage(t, s, words), found.get((t, done + s), 0.0))
         base = [s for t, s in found if self.templates[t].base]
         labels = {self.templates[t].label for t, _ in found}
-        sure = min(1.0, max((self.coverage(t, s, words) for t, s in found), default=0.0))
         named = {self.templates[t].label for t, _ in found if self.templates[t].base}
-        return len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(named)), ",".join(sorted(labels)), sure
+        sure = min(1.0, max(found.values(), default=0.0))
+        return done + len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(named)), ",".join(sorted(labels)), sure
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int = 2) -> DataFrame:

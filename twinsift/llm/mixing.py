@@ -86,28 +86,30 @@ def layout(docs: DataFrame, doc_id: str, source: str, text: str, seed: int) -> D
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), slots: int = SLOTS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(blocks, rows). blocks: slot, s, rank, doc_id, row, words, start: what each slot takes from which row, start being the word of the row.
+    """(blocks, rows). blocks: slot, s, rank, run, row, copy, doc_id, words, start: what each slot takes from which row, from its word `start`.
 
-    rows: one per row of `docs` with row (a number within source and run), doc_id, size, source_size, target and
-    taken. A null text has no words and nothing of it is taken; a null source is a source of its own; documents
+    rows: one per row of `docs`, named by s, run, row and copy (among rows alike), with doc_id, size, source_size,
+    target and taken. A null text has no words and nothing of it is taken; a null source is a source of its own; documents
     without an id lie where the empty id hashes to. Rows that agree in id and size are exchangeable.
     """
-    sized = cut(layout(docs, doc_id, source, text, seed))
-    goal = targets(sized, weights)
+    alike = layout(docs, doc_id, source, text, seed).groupBy("doc_id", "source", "size", "key", "run").agg(F.count("*").alias("m"))
+    sized = cut(alike.withColumn("held", F.col("size") * F.col("m")))  # rows alike are one until their places are known
+    goal = targets(sized.select("source", F.col("held").alias("size")), weights)
     few = goal.count() <= BROADCAST
     small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
     slot = schedule(goal, slots)
     counts = goal.join(slot.groupBy("s").agg(F.count("*").alias("n")), "s", "left").select("s", "source", "source_size", "target", "take", F.coalesce("n", F.lit(0)).alias("n"))
     counts = cut(counts)
-    runs = sized.groupBy("source", "run").agg(F.sum("size").alias("run_size")).withColumnRenamed("source", "_source")
+    runs = sized.groupBy("source", "run").agg(F.sum("held").alias("run_size")).withColumnRenamed("source", "_source")
     runs = runs.join(small(counts), F.col("_source").eqNullSafe(F.col("source"))).drop("_source", "source")
     ahead = Window.partitionBy("s").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("ahead", F.coalesce(F.sum("run_size").over(ahead), F.lit(0))).select("s", "run", "ahead")
     placed = sized.withColumnRenamed("source", "_source").join(small(counts), F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
     in_run = Window.partitionBy("s", "run").orderBy("key", "doc_id", "size")
-    placed = placed.withColumns({"row": F.row_number().over(in_run), "start": F.sum("size").over(in_run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
-    placed = placed.join(runs, ["s", "run"]).withColumn("at", F.col("start") + F.col("ahead"))
-    rows = cut(placed.select("s", "run", "row", "doc_id", "source", "size", "source_size", "target", "take", "n", "at"))
+    placed = placed.withColumns({"row": F.row_number().over(in_run), "start": F.sum("held").over(in_run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")})
+    placed = placed.join(runs, ["s", "run"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    placed = placed.withColumn("at", F.col("start") + F.col("ahead") + F.col("copy") * F.col("size"))
+    rows = cut(placed.select("s", "run", "row", "copy", "doc_id", "source", "size", "source_size", "target", "take", "n", "at"))
     times = rows.where("size > 0").withColumn("pass", F.explode(F.array(*(F.lit(p).cast("long") for p in range(TIMES)))))
     low = F.col("pass") * F.col("source_size") + F.col("at")
     spans = times.withColumns({"low": low, "high": F.least(low + F.col("size"), F.col("take"))}).where("low < high")
@@ -115,10 +117,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     edge = lambda r: _div(_whole(r) * _whole("take"), _whole("n"))
     cutup = spans.withColumn("rank", F.explode(F.sequence(block(F.col("low")), block(F.col("high") - 1))))
     first, last = F.greatest("low", edge(F.col("rank"))), F.least("high", edge(F.col("rank") + 1))
-    parts = cutup.select("s", "run", "row", "doc_id", F.col("rank"), (last - first).alias("words"), (first - F.col("low")).alias("start"))
-    blocks = parts.join(slot, ["s", "rank"]).select("slot", "s", "rank", "run", "row", "doc_id", "words", "start")
-    taken = blocks.groupBy("s", "run", "row").agg(F.sum("words").alias("taken"))
-    rows = rows.join(taken, ["s", "run", "row"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    parts = cutup.select("s", "run", "row", "copy", "doc_id", F.col("rank"), (last - first).alias("words"), (first - F.col("low")).alias("start"))
+    blocks = parts.join(slot, ["s", "rank"]).select("slot", "s", "rank", "run", "row", "copy", "doc_id", "words", "start")
+    taken = blocks.groupBy("s", "run", "row", "copy").agg(F.sum("words").alias("taken"))
+    rows = rows.join(taken, ["s", "run", "row", "copy"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     return blocks, rows
 
 

@@ -44,10 +44,8 @@ def _sums(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return c[ends] - c[starts]
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines, the number of lines of each text, and the lines' lengths in bytes."""
-    b = np.frombuffer("\n".join(texts).encode(), dtype=np.uint8)
-    counts = np.array([t.count("\n") + 1 for t in texts])
+def _block(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features (all but repeated lines), lengths, hashes and word counts of the lines of UTF-8 bytes."""
     breaks = np.flatnonzero(b == 10)
     starts, ends = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(b)]])
     kind = KINDS[b]
@@ -68,17 +66,31 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     again[1:] = hashes[1:] == hashes[:-1]
     again[first[n_words > 0]] = False
     repeated = _sums(again, first, last) / np.maximum(n_words, 1)
-    # lines equal to an earlier one of their text
     spot = _MIX[0][(np.arange(len(hashes)) - np.repeat(first, n_words)) & 255]
     whole = np.concatenate([[np.uint64(0)], np.cumsum(hashes * spot, dtype=np.uint64)])
     mark = (whole[last] - whole[first]) * np.uint64(0x9E3779B97F4A7C15) + length.astype(np.uint64)
+    columns = [np.log1p(length), *share, _sums(solid, starts, ends) / np.maximum(n_words, 1) / 10, np.log1p(n_words), repeated, np.zeros(len(mark)), (n_words == 0) * 1.0]
+    return np.stack(columns, 1), length, mark, n_words
+
+
+def line_features(texts: list[str], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines, the number of lines of each text, and the lines' lengths in bytes.
+
+    Bytes are worked on in blocks of about `limit` that end at a line's end, so memory follows the longest line.
+    """
+    counts = np.array([t.count("\n") + 1 for t in texts])
+    b, at, parts = "\n".join(texts).encode(), 0, []
+    while len(b) - at > limit and (end := b.find(b"\n", at + limit)) >= 0:
+        parts.append(_block(np.frombuffer(b, np.uint8, end - at, at)))
+        at = end + 1
+    parts.append(_block(np.frombuffer(b, np.uint8, len(b) - at, at)))
+    f, length, mark, n_words = (np.concatenate(x) for x in zip(*parts, strict=True))
+    # lines equal to an earlier one of their text
     owner = np.repeat(np.arange(len(texts)), counts)
     order = np.lexsort((np.arange(len(mark)), mark, owner))
-    dup = np.zeros(len(mark))
     same = (mark[order][1:] == mark[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (n_words[order][1:] > 0)
-    dup[order[1:][same]] = 1
-    columns = [np.log1p(length), *share, _sums(solid, starts, ends) / np.maximum(n_words, 1) / 10, np.log1p(n_words), repeated, dup, (n_words == 0) * 1.0]
-    return np.stack(columns, 1), counts, length
+    f[order[1:][same], NAMES.index("repeated line")] = 1
+    return f, counts, length
 
 
 def states(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -20,7 +20,9 @@ import hashlib
 import heapq
 import re
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -125,9 +127,8 @@ class Codec:
         out = array("i")
         if not text:
             return out
-        marked = MARK * self.model.prefix + text.replace(" ", MARK)
         memo = self.memo
-        for word in self.words.findall(marked):
+        for word in chain.from_iterable(map(self.words.findall, self.marked(text))):
             ids = memo.get(word)
             if ids is None:
                 ids = self.older.get(word) or self.word(word)
@@ -139,6 +140,18 @@ class Codec:
             out.extend(ids)
         return out
 
+    def marked(self, text: str, limit: int = 1 << 20) -> Iterator[str]:
+        """The text with its marks, in pieces that end where a mark follows another symbol: no word runs over such a place."""
+        text = MARK * self.model.prefix + text.replace(" ", MARK)
+        at = 0
+        while len(text) - at > limit:
+            end = at + limit
+            while end < len(text) and (text[end] != MARK or text[end - 1] == MARK):
+                end += 1
+            yield text[at:end]
+            at = end
+        yield text[at:] if at else text
+
     def word(self, s: str) -> tuple[int, ...]:
         last = self.by_merges(s) if self.model.kind == BPE else self.by_score(s)
         ids: list[int] = []
