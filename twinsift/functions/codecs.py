@@ -14,7 +14,7 @@ DigestFn = Callable[[Column], Column]
 
 
 def sha256_hex(content: Column) -> Column:
-    """The default strategy: built in, inside generated code, the width of the reference's digests."""
+    """The default strategy: built in and inside generated code."""
     return F.sha2(content.cast("binary"), 256)
 
 

@@ -7,7 +7,7 @@ of a key win, and a snapshot is replaced as a whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 INODE = ("device", "inode")
@@ -97,6 +97,5 @@ def remove(paths: DataFrame, inodes: DataFrame, gone: DataFrame) -> tuple[DataFr
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The last row of each key by `order`, through a window: keeps all columns, whatever their types."""
-    w = Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order))
-    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    """The last row of each key by `order`; of rows alike in that, the greatest. A key may have any share of all rows."""
+    return _last(rows, (key,), order)
