@@ -20,7 +20,7 @@ LETTER = regex.compile(r"\p{L}")
 #: Hash buckets of byte 2- and 3-grams.
 BUCKETS = 1 << 13
 #: Rows of the training sample at most (times two; see common.sample), and the bound on classes.
-SAMPLE, CLASSES = 2500, 512
+SAMPLE, CLASSES = 1200, 512
 SCHEMA = "lang_pred string, score double, ambiguous boolean, runner_up string"
 
 
@@ -79,14 +79,15 @@ class LanguageModel:
         }
 
 
-def fit(rows: list[tuple[str, str]], steps: int = 300, decay: float = 1e-5, seed: int = 7) -> LanguageModel:
+def fit(rows: list[tuple[str, str]], steps: int = 120, decay: float = 1e-5, seed: int = 7) -> LanguageModel:
     """One classifier per bit, all bits together, by full-batch Adam on texts and on pieces of them (short texts count)."""
-    texts, langs = [], []
+    texts, langs, rng = [], [], np.random.default_rng(seed)
     for text, lang in rows:
         words = text.split()
-        for n in {len(words), 12, 3}:
+        for n in sorted({len(words), 12, 3}):
             if 0 < n <= len(words):
-                texts.append(" ".join(words[:n])), langs.append(lang)
+                at = int(rng.integers(0, len(words) - n + 1))
+                texts.append(" ".join(words[at : at + n])), langs.append(lang)
     names = sorted(set(langs))
     if not names:
         return LanguageModel(["und"], np.ones((1, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.ones(1))
