@@ -118,3 +118,35 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] | None = None, doc_id: str =
         verdict = verdict.when(rule.rejects(), False)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return counts(docs, doc_id, text).select(F.col("doc_id").alias(doc_id), *names, base_failed().alias("base_failed"), verdict.otherwise(True).alias("kept"))
+
+
+#: The counts and the verdict in DuckDB.
+SQL = r"""
+WITH held AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), places AS (
+  SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM held
+), windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS n FROM places
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY r
+), counted AS (
+  SELECT doc_id, text, words, lines, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM held LEFT JOIN covered c USING (r)
+), failed AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (
+  base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 5 * n_symbols > n_words
+  OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * len(lines))
+  OR 2 * len(regexp_extract_all(text, '\p{L}')) < word_chars OR 2 * len(regexp_extract_all(text, '\p{Lu}')) > word_chars
+  OR 5 * len(regexp_extract_all(text, '!!')) > n_words
+  OR 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-*•]'))) > 9 * len(lines)
+  OR 10 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) > 3 * len(lines)
+  OR 20 * len(list_distinct(words)) < least(n_words, 2000)) AS kept
+FROM failed
+"""
