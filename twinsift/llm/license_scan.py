@@ -121,7 +121,7 @@ class RareIndex:
         base = [s for t, s in found if self.templates[t].base]
         labels = {self.templates[t].label for t, _ in found}
         named = {self.templates[t].label for t, _ in found if self.templates[t].base}
-        sure = min(1.0, max(found.values(), default=0.0))
+        sure = round(min(1.0, max(found.values(), default=0.0)), 6)
         return done + len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(named)), ",".join(sorted(labels)), sure
 
 
@@ -134,3 +134,35 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     index = RareIndex(rare=rare)
     found = text_function(index.scan, SCHEMA, docs.sparkSession)
     return docs.select(F.col(doc_id), found(F.col(text)).alias("_found")).select(doc_id, "_found.*")
+
+
+def sql() -> str:
+    """The scan in DuckDB, for the templates above: all places of the mandatory phrases, word for word."""
+    index = RareIndex()
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = [
+        f"({i}, '{t.label}', {str(t.base).lower()}, {quoted(t.words)}, [{', '.join(f'{index.idf[w]!r}e0' for w in t.words)}], {quoted(phrase)}, {at})"
+        for i, t in enumerate(index.templates)
+        for at, phrase in t.phrases[:1]
+    ]
+    return rf"""
+WITH templates(t, label, base, own, idf, phrase, place) AS (VALUES {", ".join(rows)}), held AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), tokens AS (
+  SELECT r, words, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM held
+), found AS (
+  SELECT r, words, label, base, own, idf, i - 1 - place AS start FROM tokens JOIN templates ON w = phrase[1] WHERE words[i : i + len(phrase) - 1] = phrase
+), scored AS (
+  SELECT r, label, base, start, list_sum(list_transform(range(len(own)), lambda k: CASE WHEN start + k >= 0 AND words[start + k + 1] = own[k + 1] THEN idf[k + 1] ELSE 0 END)) / list_sum(idf) AS part
+  FROM found
+), each_ AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(part) AS part
+  FROM scored GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(least(1.0, coalesce(part, 0.0)), 6) AS score
+FROM held LEFT JOIN each_ USING (r)
+"""

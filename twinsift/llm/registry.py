@@ -47,4 +47,4 @@ QUERIES = {
     "op10_toxicity": op10,
 }
 
-ORACLES: dict[str, str] = {"op2_chat_format": chat_format.SQL, "op5_mixing": mixing.SQL, "op6_quality_rules": quality_rules.SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.sql(), "op2_chat_format": chat_format.SQL, "op5_mixing": mixing.SQL, "op6_quality_rules": quality_rules.SQL}
