@@ -62,6 +62,7 @@ def test_unigram_models_by_best_sum_of_scores(codec):
         toy.automaton.add_word(p, (len(p), i))
     toy.automaton.make_automaton()
     toy.text, toy.score, toy.least, toy.bytes, toy.unk = ["<unk>", *pieces], [0.0, *scores], min(scores) - 10, {}, 0
+    toy.sizes = [len(p) for p in toy.text]
 
     def best(s: str) -> float:
         if not s:

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ from .common import text_function
 MARK, NORMAL, USER, UNUSED, BYTE = "▁", 1, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 LESS = 10.0
+LOST = float("-inf")
 
 
 def _fields(b: bytes):
@@ -105,17 +107,25 @@ class Codec:
                 raise ValueError("a piece has a white-space mark inside: words cannot be encoded alone")
             self.score = [s for _, s, _ in m.pieces]
             self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE}
+            self.is_byte = np.array([kind == BYTE for _, _, kind in m.pieces])
             self.unk = next(i for i, x in enumerate(m.pieces) if x[2] == 2)
             self.least = min((s for _, s, kind in m.pieces if kind == NORMAL), default=0.0) - LESS
+            self.history: dict[int, tuple] = {}
             a = ahocorasick.Automaton()
             for p, i in self.own.items():
+                if m.kind == BPE:  # a piece that the merges never make is in no result
+                    left, *self.history[i] = self.merges(p)
+                    if left != [p]:
+                        continue
                 a.add_word(p, (len(p), i))
             a.make_automaton()
             self.automaton = a
             self.memo: dict[str, tuple[int, ...]] = {}
             self.older: dict[str, tuple[int, ...]] = {}
             self.apart: dict[int, bool] = {}
+            self.shift = len(m.pieces).bit_length()
             self.text = [p for p, _, _ in m.pieces]
+            self.sizes = list(map(len, self.text))
             self.back = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.encode() if kind in (NORMAL, USER, UNUSED) else b"" for p, _, kind in m.pieces]
             self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         return self
@@ -124,21 +134,20 @@ class Codec:
 
     def encode(self, text: str) -> array:
         self.ready()
-        out = array("i")
-        if not text:
-            return out
+        out: list[int] = []
         memo = self.memo
-        for word in chain.from_iterable(map(self.words.findall, self.marked(text))):
-            ids = memo.get(word)
-            if ids is None:
+        for word in chain.from_iterable(map(self.words.findall, self.marked(text))) if text else ():
+            try:
+                out += memo[word]
+            except KeyError:
                 ids = self.older.get(word) or self.word(word)
                 if len(word) <= 64:
                     if len(memo) >= self.bound:  # a full memo becomes the older one; frequent words come back from it
                         self.older, self.memo = memo, {}
                         memo = self.memo
                     memo[word] = ids
-            out.extend(ids)
-        return out
+                out += ids
+        return array("i", out)
 
     def marked(self, text: str, limit: int = 1 << 20) -> Iterator[str]:
         """The text with its marks, in pieces that end where a mark follows another symbol: no word runs over such a place."""
@@ -163,13 +172,14 @@ class Codec:
                 at -= 1
             else:
                 ids.append(i)
-                at -= len(self.text[i])
-        return tuple(reversed(ids))
+                at -= self.sizes[i]
+        ids.reverse()
+        return tuple(ids)
 
     def by_score(self, s: str) -> list[int]:
         """The last piece (-1: none covers the symbol) of the best way to each position, by sum of scores."""
-        n, lost = len(s), float("-inf")
-        best, last, at = [0.0] + [lost] * n, [-1] * (n + 1), 0
+        n = len(s)
+        best, last, at = [0.0] + [LOST] * n, [-1] * (n + 1), 0
         single = [False] * (n + 1)
         for end, (k, i) in self.automaton.iter(s):
             while at < end:  # all pieces that end before are relaxed
@@ -190,34 +200,54 @@ class Codec:
     def by_merges(self, s: str) -> list[int]:
         """The last piece (-1: the symbol is in no piece) of the merged form of each prefix."""
         last = [-1] * (len(s) + 1)
-        open_ = [True] * (len(s) + 1)
-        apart, known = self.apart, self.keep_apart
+        apart, shift = self.apart.get, self.shift
         for end, (k, i) in self.automaton.iter(s):  # longest first at each end
-            to = end + 1
-            if open_[to]:
-                at = to - k
-                left = last[at]
+            end += 1
+            if last[end] < 0:
+                left = last[end - k]
                 if left < 0:
-                    last[to], open_[to] = i, False
+                    last[end] = i
                 else:
-                    key = left << 32 | i
-                    ok = apart.get(key)
-                    if ok if ok is not None else known(key, left, i):
-                        last[to], open_[to] = i, False
+                    ok = apart(left << shift | i)
+                    if ok or ok is None and self.keep_apart(left, i):
+                        last[end] = i
         return last
 
-    def keep_apart(self, key: int, left: int, right: int) -> bool:
-        a, b = self.text[left], self.text[right]
-        ok = self.apart[key] = self.merged(a + b) == [a, b]
+    def keep_apart(self, left: int, right: int) -> bool:
+        """Whether the merges of the pieces' joint text end in these two pieces.
+
+        Until a merge runs over the seam, each side merges as it does alone, the best of both first. So it is
+        enough to interleave the two known histories and to see whether the symbols at the seam ever come first:
+        before what is worse on the left, before what is not better on the right.
+        """
+        one, two = self.history[left], self.history[right]
+        i = j = 0
+        while True:
+            seam = self.own.get(one[1][i][1] + two[1][j][0])
+            a = one[0][i] if i < len(one[0]) else LOST
+            b = two[0][j] if j < len(two[0]) else LOST
+            if seam is not None and self.score[seam] > a and self.score[seam] >= b:
+                ok = False
+                break
+            if a == b == LOST:
+                ok = True
+                break
+            if a >= b:
+                i += 1
+            else:
+                j += 1
         if len(self.apart) > 4 * self.bound:
             self.apart.clear()
+        self.apart[left << self.shift | right] = ok
         return ok
 
-    def merged(self, s: str) -> list[str]:
-        """The model's merges over a short text, by priority, the leftmost first."""
+    def merges(self, s: str) -> tuple[list[str], list[float], list[tuple[str, str]]]:
+        """Symbols left by the merges over a short text (by priority, the leftmost first), the scores of the merges
+        in turn, and the first and last symbols before and after each."""
         part: list[str] = list(s)
         before, after = list(range(-1, len(s) - 1)), list(range(1, len(s) + 1))
         heap: list[tuple[float, int, int, str]] = []
+        scores, edges, last = [], [(s[0], s[-1])], len(s) - 1
 
         def offer(i: int, j: int) -> None:
             if i >= 0 and j < len(s) and (k := self.own.get(part[i] + part[j])) is not None:
@@ -226,15 +256,19 @@ class Codec:
         for i in range(len(s) - 1):
             offer(i, i + 1)
         while heap:
-            _, i, j, both = heapq.heappop(heap)
+            score, i, j, both = heapq.heappop(heap)
             if part[i] and part[j] and part[i] + part[j] == both and after[i] == j:
                 part[i], part[j] = both, ""
                 after[i] = after[j]
                 if after[j] < len(s):
                     before[after[j]] = i
+                else:
+                    last = i
+                scores.append(-score)
+                edges.append((part[0], part[last]))
                 offer(before[i], i)
                 offer(i, after[i])
-        return [p for p in part if p]
+        return [p for p in part if p], scores, edges
 
     # decoding
 
@@ -268,8 +302,7 @@ def digest(text: str, codec: Codec) -> tuple:
     """Encodes, decodes and compares one text; ids count as 4 little-endian bytes in their digest."""
     ids = codec.encode(text)
     back = codec.decode(ids)
-    own = codec.model.pieces
-    raw = sum(1 for i in set(ids) if own[i][2] == BYTE) and sum(own[i][2] == BYTE for i in ids)
+    raw = int(codec.is_byte[np.frombuffer(ids, np.int32)].sum())
     return len(text), len(ids), raw, hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text.replace(MARK, " ")
 
 
