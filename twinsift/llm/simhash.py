@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, cut, pieces, text_function
+from .common import BATCH_ROWS, WORD, ascii_lower, cut, pieces, text_function
 
 SEED, LIMIT, FAN = 42, 2, 8
 #: Fingerprints that one leaf may hold in a task.
@@ -285,6 +285,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, leaf: int) -> tuple[DataFr
     roots = components(linked(distinct.select("fp"), leaf))
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("least").alias("least"))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))  # the leaves had it larger
     return own, cut(placed.select("fp", "root").join(named, "root").select("fp", "least"))
 
 
