@@ -73,12 +73,23 @@ class Blake3:
             cv = np.repeat(IV[None], whole, 0)
             for i in range(16):
                 cv = _compress(cv, blocks[:, i], counter, np.uint32(64), np.uint32(CHUNK_START * (i == 0) | CHUNK_END * (i == 15)))
-            for x in cv:
-                self._push(1, x)
-            self.chunks += whole
+            self._push_run(cv)
             self.rest = self.rest[whole * 1024 :]
         return self
 
+    def _push_run(self, cv: np.ndarray) -> None:
+        """Chaining values of the next chunks: subtrees that are whole and aligned are reduced level by level at once."""
+        while len(cv):
+            size = 1 << (len(cv).bit_length() - 1)
+            if self.chunks:
+                size = min(size, self.chunks & -self.chunks)
+            level, cv = cv[:size], cv[size:]
+            while len(level) > 1:
+                pairs = level.reshape(-1, 16)
+                level = _compress(np.repeat(IV[None], len(pairs), 0), pairs, np.zeros(len(pairs), np.uint64), np.uint32(64), np.uint32(PARENT))
+            self._push(size, level[0])
+            self.chunks += size
+
     def _push(self, size: int, cv: np.ndarray) -> None:
         while self.stack and self.stack[-1][0] == size:
             size, cv = size * 2, self._parent(self.stack.pop()[1], cv, 0)
