@@ -111,6 +111,23 @@ def test_an_interrupted_scan_keeps_what_it_has_read_and_forgets_nothing(spark, t
     assert names(s.store.paths, "path") == [".hidden", "a", "b", "c", "d"]
 
 
+def test_what_was_read_in_parts_is_kept_when_the_scan_stops(spark, tmp_path, tree):
+    for k in range(20):
+        (tree / f"n{k}").write_text(f"content {k}")
+    s = engine(spark, tmp_path, tree, rounds=3)
+    asked = []
+    s.should_abort = lambda: asked.append(1) or len(asked) > 2
+    with pytest.raises(Interrupted):
+        s.run_full_scan()
+    kept = s.store.paths.count()
+    assert 0 < kept < 24
+    s.should_abort = lambda: False
+    again = s.run_full_scan()
+    assert again.counters["misses"] == 24 - kept
+    assert again.counters["dupes"] == 2
+    assert s.run_full_scan().counters["hits"] == 24
+
+
 def test_single_changes(spark, tmp_path, tree):
     s = engine(spark, tmp_path, tree)
     assert s.handle_change(str(tree / "a")) is None

@@ -36,6 +36,8 @@ class Options:
     skewed: bool = False
     #: Pairs that are checked and logged together before they are replaced.
     batch: int = 64
+    #: Parts in which files are read: each is in the index before the next begins, so a stopped scan starts from there.
+    rounds: int = 1
 
 
 @dataclass
@@ -95,7 +97,10 @@ class Session:
             if o.distinct_paths:
                 files = files.dropDuplicates(["path"])
             self._ask()
-            decisions, entries = cache.index_entries(files, self.store.inodes, lambda lead: filesystem.digests(lead, o.algorithm), now)
+            decisions = cache.decide(files, self.store.inodes)
+            for k in range(o.rounds if o.rounds > 1 else 0):
+                self._read_part(decisions, k, now)
+            _, entries = cache.index_entries(files, self.store.inodes, lambda lead: filesystem.digests(lead, o.algorithm), now)
             entries = entries.persist()  # read once: the commit and the pairs share it
             paths, inodes = index.upsert(self.store.paths, self.store.inodes, entries)
             self.store.commit(paths=paths, inodes=inodes)
@@ -113,6 +118,16 @@ class Session:
             scanned.unpersist()
         return Report(decisions, entries, pairs, results, counted)
 
+    def _read_part(self, decisions: DataFrame, k: int, now: int) -> None:
+        """Reads one of `rounds` parts of the inodes that have no stored digest, and commits it."""
+        self._ask()
+        part = decisions.where(F.col("digest").isNull() & (F.pmod(F.xxhash64("device", "inode"), F.lit(self.options.rounds)) == k))
+        fresh = filesystem.digests(cache.leaders(part), self.options.algorithm).where("digest IS NOT NULL")
+        entries = cache.fan_out(part.drop("digest", "decision"), fresh).withColumn("last_seen", F.lit(now).cast("long")).persist()
+        paths, inodes = index.upsert(self.store.paths, self.store.inodes, entries)
+        self.store.commit(paths=paths, inodes=inodes)
+        entries.unpersist()
+
     def _apply(self, pairs: DataFrame) -> DataFrame:
         """Replaces duplicates by links, in batches: all of a batch are checked, then logged as planned, then replaced."""
         run, done = uuid.uuid4().hex[:8], []
