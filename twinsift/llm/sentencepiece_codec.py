@@ -10,8 +10,8 @@ position over those pieces:
   exactly if each two neighbours stay apart; one piece at most is admissible at each position, and it is
   relaxed in place of a sum of scores, which would not give the ids of a BPE model.
 
-A vocabulary without white-space marks inside pieces never joins two words, so words are encoded alone and
-kept in a bounded memo. Symbols outside the vocabulary become byte pieces.
+A vocabulary without white-space marks inside pieces never joins two words, so words (letters and other symbols
+apart, if no piece mixes them) are encoded alone and kept in a bounded memo. Symbols outside the vocabulary become byte pieces.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise
 
 import ahocorasick
 import numpy as np
@@ -127,9 +127,27 @@ class Codec:
             self.text = [p for p, _, _ in m.pieces]
             self.sizes = list(map(len, self.text))
             self.back = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.encode() if kind in (NORMAL, USER, UNUSED) else b"" for p, _, kind in m.pieces]
-            self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+            self.words = re.compile(self.splitting())
         return self
 
+    def splitting(self) -> str:
+        """The pattern of what is encoded alone: at white space, and between letters and other symbols if no piece mixes them.
+
+        A letter beyond ASCII that some piece does mix with others counts as one of the others. Finer words are
+        more often the same ones.
+        """
+        other = {"_"}
+        letter = lambda c: c not in other and re.match(r"\w", c) is not None
+        while True:
+            seams = ((a, b) for p in self.own for a, b in pairwise(p.lstrip(MARK)) if letter(a) != letter(b))
+            mixed = {c for seam in seams for c in seam if letter(c)}
+            if not mixed:
+                others = "".join(map(re.escape, sorted(other)))
+                return rf"{MARK}*(?:[^\W{others}]+|[\W{others}]+?(?=[^\W{others}]|{MARK}|\Z))|{MARK}+"
+            if any(c.isascii() for c in mixed):
+                return f"{MARK}*[^{MARK}]+|{MARK}+"
+            other |= mixed
+
     # encoding
 
     def encode(self, text: str) -> array:
