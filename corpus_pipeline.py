@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import mixing, quality_crf, sentencepiece_codec, simhash, toxicity
+from twinsift.llm import mixing, near_copies, quality_crf, sentencepiece_codec, toxicity
 from twinsift.llm.common import shared_folder, table
 from twinsift.llm.registry import tokenizer
 
@@ -27,8 +27,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more, verified."""
+    return near_copies.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -304,7 +304,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leaf:
 
     Of rows that repeat both, one stays.
     """
-    _, of = _classes(docs, doc_id, text, leaf)
+    return keep_least(docs, _classes(docs, doc_id, text, leaf)[1], doc_id, text)
+
+
+def keep_least(docs: DataFrame, of: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that `of.least` names (see _classes), each once."""
     kept = of.select("least").distinct().select(*(F.col(f"least.{c}").alias(f"_{c}") for c in ("none", "mark")), F.coalesce("least.doc_id", F.lit(0).cast(docs.schema[doc_id].dataType)).alias("_id"))
     keyed = docs.withColumns({"_none": F.col(doc_id).isNull(), "_mark": F.xxhash64(F.col(text)), "_id": F.coalesce(F.col(doc_id), F.lit(0).cast(docs.schema[doc_id].dataType))})
     keys = ["_none", "_mark", "_id"]
