@@ -85,3 +85,17 @@ def test_no_rows_and_no_words(spark):
     assert table(mixing.mix_amounts(empty).select("doc_id", "size", "target", "taken")) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
     assert mixing.mixed(empty).count() == 0
     assert mixing.mixed(odd_docs(spark, 5)).count() > 0
+
+
+def test_rows_alike_share_whole_copies(spark):
+    """Rows without an id and of one size: all of a source lie on its cut."""
+    rows = [(None, f"w{i} " * 10, None, "a", i) for i in range(70)] + [(None, f"v{i} " * 10, None, "b", i) for i in range(30)] + [(None, "x y " * 5, None, "c", 5)] * 50
+    frame = spark.createDataFrame(rows, DOCS)
+    goal = {r["source_size"]: r["target"] for r in mixing.mix_amounts(frame).collect()}
+    copies = mixing.mixed(frame).groupBy("source", "text").count().collect()
+    for source, size in (("a", 700), ("b", 300), ("c", 500)):
+        assert abs(10 * sum(r["count"] for r in copies if r["source"] == source) - goal[size]) <= 10
+    for source, n in (("a", 70), ("b", 30)):
+        counts = [r["count"] for r in copies if r["source"] == source]
+        counts += [0] * (n - len(counts))
+        assert max(counts) - min(counts) <= 1

@@ -133,14 +133,29 @@ def mix_amounts(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), slots: int = SLOTS, seed: int = 17) -> DataFrame:
     """The documents as often as the mix takes them, rounded to whole documents; columns as in `docs`.
 
-    Rows that agree in id, source and size share what is taken from them as evenly as it divides.
+    Rows that agree in id, source and size share what is taken from them as evenly as it divides: their whole
+    copies differ by one at most and sum to the group's taken words within half a document.
     """
     amounts = mix(docs, doc_id, source, text, weights, slots, seed)[1].where("size > 0")
     keys = {"_id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "_null": F.col(doc_id).isNull(), "_none": F.col(source).isNull(), "_source": F.coalesce(source, F.lit("")), "_size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")}
     per = amounts.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), F.col("size").alias("_size"))
-    copies = per.agg(F.floor(F.sum("taken") / F.count("*") / F.first("size") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
-    joined = docs.withColumns(keys).join(copies, list(keys))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    whole = F.floor(F.sum("taken") / F.first("size") + 0.5)  # copies of all rows alike together
+    copies = cut(per.agg(F.floor(whole / F.count("*")).cast("int").alias("_copies"), (whole % F.count("*")).alias("_more")).where("_copies > 0 OR _more > 0"))
+    joined = docs.withColumns(keys).join(copies.where("_more = 0"), list(keys))
+    if not (uneven := copies.where("_more > 0")).isEmpty():
+        joined = joined.unionByName(_one_more(docs.withColumns(keys).join(uneven, list(keys)), list(keys), text))
+    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def _one_more(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """The rows, of which in each group the first `_more` get one copy more. They are numbered in runs by a hash of the text, so that no task holds a whole group."""
+    run = F.pmod(F.xxhash64(F.col(text)), F.lit(RUNS))
+    sizes = rows.groupBy(*keys, run.alias("_run")).agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    placed = rows.withColumn("_run", run).join(runs, [*keys, "_run"])
+    place = F.col("_ahead") + F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(F.xxhash64(F.col(text))))
+    return placed.withColumn("_copies", F.col("_copies") + (place <= F.col("_more")).cast("int")).drop("_run", "_ahead")
 
 
 #: The contract's amounts in DuckDB: what the slots of a source take together are the first `take` words of its repeated line.
