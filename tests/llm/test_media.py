@@ -94,3 +94,19 @@ def test_the_stored_form_is_a_file_that_others_read():
 def test_texts_with_magic_bytes_are_no_media():
     said = M.store("BM RIFF GIF89a PK\x03\x04 %PDF-1.4", M.Sniffer())
     assert said[6].endswith("[]")
+
+
+def test_a_pdf_with_updates_is_carved_whole():
+    whole = PDF + b"\n2 0 obj\nendobj\nstartxref\n40\n%%EOF"
+    found = M.Sniffer().objects(b"x" + whole + b" %%EOF " + PDF)
+    assert [(at, n) for at, n, _, _ in found] == [(1, len(whole)), (1 + len(whole) + 7, len(PDF))]
+
+
+def test_a_zip_that_stores_a_zip_is_carved_whole():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("inner.zip", a_zip())
+        z.writestr("b", "c" * 50)
+    found = M.Sniffer().objects(b"xx" + out.getvalue() + b"yy")
+    assert (2, len(out.getvalue()), "application/zip", "2 entries") in found
+    assert M.Sniffer().sniff(out.getvalue(), "text/plain")["type"] == "application/zip"

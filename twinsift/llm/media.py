@@ -130,11 +130,14 @@ def valid_jpeg(b: bytes, at: int) -> tuple[int, str] | None:
 
 
 def valid_zip(b: bytes, at: int) -> tuple[int, str] | None:
+    """Up to the first end record whose directory lies where it says; stored archives have end records of their own."""
     end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    n, size, start, note = struct.unpack_from("<HIIH", b, end + 10)
-    return (end + 22 + note - at, f"{n} entries") if at + start + size == end and end + 22 + note <= len(b) else None
+    while 0 <= end <= len(b) - 22:
+        n, size, start, note = struct.unpack_from("<HIIH", b, end + 10)
+        if at + start + size == end and end + 22 + note <= len(b):
+            return end + 22 + note - at, f"{n} entries"
+        end = b.find(b"PK\x05\x06", end + 1)
+    return None
 
 
 def valid_gzip(b: bytes, at: int) -> tuple[int, str] | None:
@@ -150,10 +153,17 @@ def valid_gzip(b: bytes, at: int) -> tuple[int, str] | None:
 
 
 def valid_pdf(b: bytes, at: int) -> tuple[int, str] | None:
+    """Up to the last %%EOF before the next header that a startxref precedes: linearised and updated files have several."""
     if not b[at + 5 : at + 8].replace(b".", b"").isdigit():
         return None
-    end = b.find(b"%%EOF", at)
-    return (end + 5 - at, b[at + 5 : at + 8].decode()) if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+    until = b.find(b"%PDF-", at + 5)
+    end = b.rfind(b"%%EOF", at, until if until >= 0 else len(b))
+    while end >= 0:
+        before = b.rfind(b"%%EOF", at, end)
+        if b.find(b"startxref", max(at, before), end) >= 0:
+            return end + 5 - at, b[at + 5 : at + 8].decode()
+        end = before
+    return None
 
 
 VALID: dict[str, Callable[[bytes, int], tuple[int, str] | None]] = {
