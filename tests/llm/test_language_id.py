@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import duckdb
@@ -63,3 +64,40 @@ def test_long_texts_are_counted_in_pieces():
     whole = np.frombuffer(f" {text} ".encode(), np.uint8)
     assert len(whole) > 1 << 21
     assert np.allclose(L.features([text]), L.features(["the quick brown fox " * 1000]), atol=0.01)
+
+
+def test_rare_languages_are_learned_and_only_the_most_frequent_of_too_many(spark, monkeypatch):
+    rows = [(i, f"the common words {i} of one", "aa", "s", 1) for i in range(4000)] + [(i, f"zzyq xxwv {i} qqzz", "rare", "s", 1) for i in range(4000, 4020)]
+    frame = spark.createDataFrame(rows, DOCS)
+    assert L.learn(frame).langs == ["aa", "rare"]
+    monkeypatch.setattr(L, "CLASSES", 1)
+    assert L.learn(frame).langs == ["aa"]
+
+
+def test_the_query_equals_brute_force(spark, small, docs):
+    from twinsift.llm.registry import QUERIES
+
+    model = L.learn(docs)
+    w, bias, codes, trust = model.weights.tolist(), model.bias.tolist(), model.codes.tolist(), model.trust.tolist()
+
+    def brute(text: str) -> tuple[str, float]:
+        b = f" {L.ascii_lower(text)} ".encode()
+        counts: dict[int, int] = {}
+        for n, by, mix in ((2, (257,), 2654435761), (3, (257, 263), 2246822519)):
+            for i in range(len(b) - n + 1):
+                v = b[i]
+                for k, m in enumerate(by, 1):
+                    v = (v * m + b[i + k]) % 2**32
+                bucket = v * mix % 2**32 >> 19
+                counts[bucket] = counts.get(bucket, 0) + 1
+        n = sum(counts.values())
+        z = [bias[j] + sum((c / n) ** 0.5 * w[k][j] for k, c in counts.items()) for j in range(len(bias))]
+        loss = [sum(t * math.log1p(math.exp(-x * c)) for x, c, t in zip(z, row, trust, strict=True)) for row in codes]
+        p = [math.exp(min(loss) - v) for v in loss]
+        return model.langs[loss.index(min(loss))], max(p) / sum(p)
+
+    got = {r["doc_id"]: r for r in QUERIES["op7_language_id"](spark, small).collect()}
+    for r in [r for r in docs.collect() if L.LETTER.search(r["text"] or "") and len(r["text"]) < 4000]:
+        lang, score = brute(r["text"])
+        assert got[r["doc_id"]]["lang_pred"] == lang
+        assert got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-3)

@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pytest
 from helpers import no_docs, odd_docs, table, with_clashes
 
 from twinsift.llm import quality_crf as Q
@@ -93,3 +94,47 @@ def test_the_sample_has_no_held_out_rows(spark, docs, labels):
     assert rows
     assert not text & {t for t, _ in rows}
     assert rows == labelled(docs.repartition(3), labels.repartition(2), "quality", (5000, 5000), 1)
+
+
+def test_the_query_equals_brute_force(spark, small, docs, labels):
+    """Document scores from the sum over all label sequences of short documents, weighted by line lengths."""
+    from itertools import product
+    from math import exp
+
+    from twinsift.llm.registry import QUERIES
+
+    model = Q.learn(docs, labels)
+    got = {r["doc_id"]: r for r in QUERIES["op3_quality_crf"](spark, small).collect()}
+    seen = 0
+    for r in docs.collect():
+        lines = (r["text"] or "").split("\n")
+        if len(lines) > 9:
+            continue
+        f = [Q.line_features([r["text"] or ""])[0][i] for i in range(len(lines))]
+        zero = np.zeros_like(f[0])
+        u = [float((np.concatenate([x, f[i - 1] if i else zero, f[i + 1] if i + 1 < len(f) else zero]) - model.mean) / model.scale @ model.w + model.b) for i, x in enumerate(f)]
+        z, good = 0.0, [0.0] * len(u)
+        for y in product((0, 1), repeat=len(u)):
+            p = exp(sum(min(30, max(-30, a)) * b for a, b in zip(u, y, strict=True)) + sum(model.t[a][b] for a, b in zip(y, y[1:], strict=False)))
+            z += p
+            for i, v in enumerate(y):
+                good[i] += p * v
+        weight = [max(1, len(x.encode())) for x in lines]
+        score = sum(g / z * w for g, w in zip(good, weight, strict=True)) / sum(weight)
+        assert got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-6)
+        assert got[r["doc_id"]]["n_lines"] == len(lines)
+        seen += 1
+    assert seen > 50
+
+
+def test_ids_that_repeat_do_not_crowd_others_out(spark):
+    from twinsift.llm.common import least_ids
+
+    rows = [(i, i % 2) for i in range(2000)] + [(5, 1)] * 30000 + [(8, 0)] * 10
+    frame = spark.createDataFrame(rows, "doc_id long, v int")
+    got = least_ids(frame, "doc_id", "v", {0: 100, 1: 300}, 3)
+    assert [sum(v == k for _, v in got) for k in (0, 1)] == [100, 300]
+    assert len(set(got)) == 400
+    assert got == least_ids(frame.repartition(5), "doc_id", "v", {0: 100, 1: 300}, 3)
+    assert len(least_ids(frame, "doc_id", "v", {0: 5000, 1: 5000}, 3)) == 2000
+    assert least_ids(frame.limit(0), "doc_id", "v", {0: 5, 1: 5}, 3) == []

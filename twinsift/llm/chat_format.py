@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BATCH_ROWS
+from .common import rows_of
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,10 @@ class ChatTemplate:
     def __post_init__(self) -> None:
         if len(set(self.names.values())) < len(self.names) or any(not re.fullmatch(r"\w+", n) for n in self.names.values()):
             raise ValueError("role names must differ and be words")
+        if any(re.fullmatch(r"x([0-9a-f]{2})*", n) for n in self.names.values()):
+            raise ValueError("a role's name reads like the hex of an unknown role")
+        if not self.tail.strip() or self.tail == self.tail.strip():
+            raise ValueError("the tail must be a mark with white space around it, so that an escaped one differs from it")
 
     def controls(self) -> list[str]:
         """The strings that are escaped inside texts: the escape itself and the marks around turns."""
@@ -129,7 +133,8 @@ def format_chat(rows: DataFrame, template: ChatTemplate | None = None, conv_id:
     segment, where it is empty for a valid conversation, else the first fault of its order. A null text counts
     as empty and a null role as one without a name; rows of a null conv_id are one conversation. Rows with
     equal turns go by role and text; null turns come last; repeated rows are repeated turns. Columns other
-    than the four named are not read.
+    than the four named are not read. Conversation and turn are whole numbers: ids of another type that do not
+    read as such fail the job in ANSI mode and are one null conversation without it.
     """
     template = template or ChatTemplate()
     schema = _arrow(SEGMENTS)
@@ -144,8 +149,8 @@ def format_chat(rows: DataFrame, template: ChatTemplate | None = None, conv_id:
                 for part, (s, loss) in enumerate(segments):
                     out.append((held[0], held[1], seq, held[2], part, s, loss, None))
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for some in rows_of(batches):
+            for row in some:
                 close()
                 if held and held[0] != row[0]:
                     out[-1] = (*out[-1][:7], machine.end())
@@ -162,12 +167,15 @@ def format_chat(rows: DataFrame, template: ChatTemplate | None = None, conv_id:
             out[-1] = (*out[-1][:7], machine.end())
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return _in_order(rows, conv_id, turn, role, text).mapInArrow(run, SEGMENTS)
 
 
 def digest_chat(segments: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
-    """One row per conversation, from the segments as format_chat leaves them in each partition: read back and digested."""
+    """One row per conversation, from the segments as format_chat leaves them in each partition: read back and digested.
+
+    Turns are found in the formatted text itself, by their marks. A null conv_id is a conversation; of no segments
+    nothing comes; an empty text is a turn with an empty text. Only one turn is held at a time.
+    """
     template = template or ChatTemplate()
     schema = _arrow(TURNS)
 
@@ -175,13 +183,13 @@ def digest_chat(segments: DataFrame, template: ChatTemplate | None = None) -> Da
         reader = Reader(template)
         n = chars = loss_chars = 0
         turns, loss, text, mask = hashlib.sha256(), hashlib.sha256(), [], []
-        for batch in batches:
+        for some in rows_of(batches):
             out = []
-            for conv, _, _, _, part, segment, flag, fault in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv, _, _, _, _, segment, flag, fault in some:
                 text.append(segment)
                 mask.append(flag)
                 chars += len(segment)
-                if part == 2:  # the text of a whole turn
+                if segment.endswith(template.tail):  # escaped ones have the escape in them: only a turn's end does
                     flat = "".join(text)
                     for role, said, start, _ in reader.turns(flat):
                         n += 1
@@ -215,7 +223,7 @@ def planted(rows: DataFrame) -> DataFrame:
 #: The digests of the default template in DuckDB: what is read back is what went in, and lengths follow from the escapes.
 SQL = r"""
 WITH said AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), turns AS (
   SELECT *, row_number() OVER w AS n, lag(role) OVER w AS before,

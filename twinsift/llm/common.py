@@ -8,15 +8,17 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words between the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A-Z to a-z and nothing else.
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-#: Rows that one Arrow batch carries to Python: bounds a worker's memory with long texts.
-BATCH_ROWS = 512
+#: Texts and characters that a function gets at a time. Arrow batches themselves are bounded in bytes by Spark.
+SLICE_ROWS, SLICE_CHARS = 512, 1 << 20
+#: Characters of a training text: a stretch of so many, from anywhere in it, is fetched. Bounds what the driver gets.
+CHARS = 1 << 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +45,6 @@ def batch_function(f: Callable[[list[str]], dict[str, Sequence]], schema: str, s
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     kind = to_arrow_type(StructType.fromDDL(schema))
 
     def run(texts: pa.Array) -> pa.Array:
@@ -57,12 +58,12 @@ def batch_function(f: Callable[[list[str]], dict[str, Sequence]], schema: str, s
     return F.arrow_udf(run, schema).asNondeterministic()
 
 
-def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[list[str]]:
-    """The texts in runs of about `limit` characters; a longer text is a run of its own."""
+def slices(texts: pa.Array, limit: int = SLICE_CHARS, rows: int = SLICE_ROWS) -> Iterator[list[str]]:
+    """The texts in runs of about `limit` characters and `rows` texts at most; a longer text is a run of its own."""
     run, size = [], 0
     for x in texts:
         text = x.as_py() or ""
-        if run and size + len(text) > limit:
+        if run and (size + len(text) > limit or len(run) == rows):
             yield run
             run, size = [], 0
         run.append(text)
@@ -76,17 +77,52 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % by
 
 
-def sample(rows: DataFrame, key: str, columns: Sequence[str], size: int, seed: int) -> list:
-    """At most 2 * `size` rows, those with the `size` smallest hashes of `key`: the same ones at each run.
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of Arrow batches, SLICE_ROWS at a time: bounds the Python objects made of them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield list(zip(*(c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns), strict=True))
 
-    The first job reads the key alone; the second fetches the rows under the threshold. Rows that repeat a
-    key can make the sample larger than `size`, but not than twice that.
+
+def stretch(text: Column, key: Column, chars: int = CHARS) -> Column:
+    """A stretch of at most `chars` characters of the text, from a place that a hash of the key chooses."""
+    room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
+    return F.substring(text, F.pmod(F.xxhash64(key, F.lit(1)), room).cast("int") + 1, F.lit(chars))
+
+
+def least_ids(rows: DataFrame, key: str, group: str, sizes: dict, seed: int) -> list[tuple]:
+    """(id, group) of the sizes[group] ids of each group with the smallest hashes: the same ones at each run.
+
+    Only ids and groups are read. The groups' counts give a bound on the hash that lets about twice as many rows
+    pass; those are made distinct and ordered. Where repeated ids leave too few, the bound is raised.
     """
-    hashed = F.xxhash64(F.col(key), F.lit(seed))
-    least = [r[0] for r in rows.select(hashed.alias("h")).distinct().orderBy("h").limit(size).collect()]
-    if not least:
+    place = F.xxhash64(F.col(key), F.lit(seed)) / float(1 << 64) + 0.5  # in 0..1
+    counts = {r[0]: r[1] for r in rows.where(F.col(group).isin(list(sizes))).groupBy(group).count().collect()}
+    share = {g: min(1.0, (2 * sizes[g] + 100) / n) for g, n in counts.items()}
+    out: list[tuple] = []
+    while share:
+        passed = F.lit(False)
+        for g, f in share.items():
+            passed = passed | ((F.col(group) == F.lit(g)) & (place <= f))
+        few = rows.where(passed).select(group, key, place.alias("_place")).distinct()
+        ranked = few.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_place", key)))
+        most = F.create_map(*(F.lit(x) for g in share for x in (g, sizes[g])))
+        got: dict = {g: [] for g in share}
+        for r in ranked.where(F.col("_rank") <= most[F.col(group)]).select(key, group).collect():
+            got[r[1]].append((r[0], r[1]))
+        out += [x for g, ids in got.items() if len(ids) >= sizes[g] or share[g] >= 1 for x in ids]
+        share = {g: min(1.0, 8 * share[g]) for g, ids in got.items() if len(ids) < sizes[g] and share[g] < 1}
+    return sorted(out, key=repr)
+
+
+def texts_of(docs: DataFrame, ids: list[tuple], kind: str, doc_id: str = "doc_id", text: str = "text", chars: int = CHARS) -> list[tuple[str, object]]:
+    """(stretch of the text, group) of each chosen id; of rows that share an id, the text with the least hash."""
+    if not ids:
         return []
-    return sorted(rows.where(hashed <= F.lit(max(least))).select(key, *columns).limit(2 * size).collect(), key=repr)
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, f"_id {docs.schema[doc_id].dataType.simpleString()}, _group {kind}"))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text IS NOT NULL").join(chosen, "_id")
+    one = rows.groupBy("_id", "_group").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), stretch(F.col("_text"), F.col("_id"), chars).alias("t"))).alias("s"))
+    return [(r["t"], r["_group"]) for r in sorted(one.select("_id", "_group", "s.t").collect(), key=lambda r: (repr(r["_id"]), repr(r["_group"])))]
 
 
 def shared_folder(spark: SparkSession) -> None:
@@ -109,20 +145,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sizes: tuple[int, int], seed: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
     """A bounded training sample: (text, label) of at most `sizes` ids labelled 0 and 1, outside the held-out fold.
 
-    The ids are those with the smallest hashes, so each run has the same ones. Rows without id, label or text
-    are left out; an id that several rows share counts with each row, up to twice the sample's size in all.
+    The ids are those with the smallest hashes, so each run has the same ones. Rows without id, label or text are
+    left out. An id counts once with each label it has, by a stretch of at most CHARS characters of its text.
     """
-    spark = docs.sparkSession
-    ids: list[tuple[int, int]] = []
-    free = labels.where(remainder(F.col(doc_id), 3) != 1).select(doc_id, F.col(label).cast("int").alias(label))
-    for value in (0, 1):
-        own = free.where(F.col(label) == value).select(doc_id).distinct()
-        ids += [(r[0], value) for r in own.orderBy(F.xxhash64(F.col(doc_id), F.lit(seed)), doc_id).limit(sizes[value]).collect()]
-    if not ids:
-        return []
-    chosen = F.broadcast(spark.createDataFrame(ids, f"_id {docs.schema[doc_id].dataType.simpleString()}, _label int"))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text IS NOT NULL").join(chosen, "_id")
-    return [(r["_text"], r["_label"]) for r in sorted(rows.limit(2 * sum(sizes)).collect(), key=lambda r: (r["_id"], r["_label"], r["_text"]))]
+    free = labels.where(remainder(F.col(doc_id), 3) != 1).select(doc_id, F.col(label).cast("int").alias("_label"))
+    ids = least_ids(free, doc_id, "_label", dict(enumerate(sizes)), seed)
+    return texts_of(docs, ids, "int", doc_id, text)
 
 
 def pieces(text: str, limit: int = 1 << 20) -> Iterator[str]:

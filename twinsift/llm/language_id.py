@@ -14,13 +14,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, batch_function, remainder, sample
+from .common import ascii_lower, batch_function, least_ids, remainder, texts_of
 
 LETTER = regex.compile(r"\p{L}")
 #: Hash buckets of byte 2- and 3-grams.
 BUCKETS = 1 << 13
-#: Rows of the training sample at most (times two; see common.sample), and the bound on classes.
-SAMPLE, CLASSES = 1200, 512
+#: Ids of the training sample, shared equally among the languages (LEAST for each at least), and the languages that are learned: the most frequent ones.
+SAMPLE, LEAST, CLASSES = 1200, 40, 512
+#: Characters of a training text.
+CHARS = 4096
 SCHEMA = "lang_pred string, score double, ambiguous boolean, runner_up string"
 
 
@@ -91,8 +93,6 @@ def fit(rows: list[tuple[str, str]], steps: int = 120, decay: float = 1e-5, seed
     names = sorted(set(langs))
     if not names:
         return LanguageModel(["und"], np.ones((1, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.ones(1))
-    if len(names) > CLASSES:
-        raise ValueError(f"{len(names)} languages; codewords are made for {CLASSES} at most")
     codes = codewords(len(names), seed)
     x = features(texts)
     y = (codes[[names.index(v) for v in langs]] + 1) / 2
@@ -112,9 +112,15 @@ def fit(rows: list[tuple[str, str]], steps: int = 120, decay: float = 1e-5, seed
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", size: int = SAMPLE, seed: int = 7) -> LanguageModel:
-    """Fits on a bounded sample of the rows with an id, a text and a language outside the held-out fold."""
-    free = docs.where((remainder(F.col(doc_id), 4) != 2) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    return fit([(r[text], r[lang]) for r in sample(free, doc_id, [text, lang], size, seed)], seed=seed)
+    """Fits on a bounded sample of the rows with an id, a text and a language outside the held-out fold.
+
+    Each of the CLASSES most frequent languages has the same number of ids, so a rare one is learned as well; a rarer
+    one than those is not learned and never predicted. Of a text a stretch of CHARS characters counts.
+    """
+    free = docs.where((remainder(F.col(doc_id), 4) != 2) & F.col(lang).isNotNull()).select(doc_id, F.col(lang).alias("_lang"))
+    langs = [r[0] for r in free.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(CLASSES).collect()]
+    each = max(LEAST, -(-size // max(1, len(langs))))
+    return fit(texts_of(docs, least_ids(free, doc_id, "_lang", dict.fromkeys(langs, each), seed), "string", doc_id, text, CHARS), seed=seed)
 
 
 def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
