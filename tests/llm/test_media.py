@@ -31,7 +31,24 @@ def a_zip() -> bytes:
     return out.getvalue()
 
 
-FILES = {"audio/wav": M.wav(bytes(range(101))), "image/png": png(), "image/gif": GIF, "image/bmp": BMP, "image/jpeg": JPEG, "application/zip": a_zip(), "application/gzip": gzip.compress(b"x" * 999), "application/pdf": PDF}
+WEBP = struct.pack("<4sI4s4sI", b"RIFF", 22, b"WEBP", b"VP8 ", 10) + bytes(10)
+MP4 = struct.pack(">I4s4sI4s", 20, b"ftyp", b"isom", 0, b"mp41") + struct.pack(">I4s", 16, b"mdat") + bytes(8) + struct.pack(">I4s", 12, b"moov") + bytes(4)
+FLAC = b"fLaC" + b"\x80\0\0\x22" + bytes(10) + (44100 << 12 | 1 << 9).to_bytes(4, "big") + bytes(20) + b"\xff\xf8 frame"
+MP3 = b"ID3\x03\0\0\0\0\0\0" + (b"\xff\xfb\x90\0" + bytes(413)) * 5
+
+
+def ogg_page(flags: int, body: bytes) -> bytes:
+    page = b"OggS\0" + bytes([flags]) + bytes(8) + struct.pack("<III", 77, 0, 0) + bytes([1, len(body)]) + body
+    r = 0
+    for x in page:
+        r ^= x << 24
+        for _ in range(8):
+            r = (r << 1 ^ (0x04C11DB7 if r >> 31 else 0)) & 0xFFFFFFFF
+    return page[:22] + struct.pack("<I", r) + page[26:]
+
+
+OGG = ogg_page(2, b"head") + ogg_page(0, b"more") + ogg_page(4, b"last")
+FILES = {"image/webp": WEBP, "video/mp4": MP4, "audio/ogg": OGG, "audio/wav": M.wav(bytes(range(101))), "image/png": png(), "image/gif": GIF, "image/bmp": BMP, "image/jpeg": JPEG, "application/zip": a_zip(), "application/gzip": gzip.compress(b"x" * 999), "application/pdf": PDF}
 
 
 @pytest.mark.parametrize("kind", FILES)
@@ -60,6 +77,56 @@ def test_a_wrong_checksum_or_length_is_not_confirmed():
     assert M.Sniffer().objects(bytes(wav)) == []
 
 
+def test_flac_and_mp3():
+    assert M.Sniffer().objects(b"ab" + FLAC) == [(2, len(FLAC), "audio/flac", "2ch,44100Hz")]
+    assert M.Sniffer().objects(FLAC[:40]) == []
+    assert M.Sniffer().objects(b"ab" + MP3 + b"more") == [(2, len(MP3), "audio/mpeg", "5 frames")]
+    assert M.Sniffer().objects(MP3[:900]) == []
+
+
+def test_checksums_of_parts():
+    b = bytes(range(256)) * 3000
+    c = M.Content(b, {})
+    for start, end in ((0, len(b)), (1, 700_001), (65_535, 400_000), (70_000, 70_001), (3, 3)):
+        assert c.crc(start, end) == zlib.crc32(b[start:end])
+
+
+def nested_png(n: int) -> bytes:
+    """Heads that are all followed by a chunk up to one common end, with a wrong checksum."""
+    head = png()[:33]
+    total = n * 41
+    return b"".join(head + struct.pack(">I4s", total - (k + 1) * 41 + 20, b"teXt") for k in range(n)) + bytes(40)
+
+
+@pytest.mark.parametrize("unit", [m for m, _, _ in M.MAGIC] + [b"%PDF-1.4 ", b"%%EOF %PDF-1.4 startxref ", b"PK\x03\x04PK\x05\x06", b"RIFF\xf0\xff\x0f\0WAVEjunk\x04\0\0\0", b"\xff\xd8\xff\xc0\0\x08\x08\0\x05\0\x07\0\xff\xda\0\x02", b"GIF89a\1\0\1\0\0\0\0!\xff\x01x\0,", b"\0\0\0\x10ftypisom\0\0\0\0", ogg_page(2, b"head"), gzip.compress(b"abc"), "nested"], ids=repr)
+def test_time_grows_with_the_content(unit):
+    """A quarter of a megabyte of one magic string, and half a megabyte."""
+    import time
+
+    took = []
+    for n in (1, 2):
+        b = nested_png(n << 12) if unit == "nested" else unit * ((n << 18) // len(unit))
+        start = time.process_time()
+        M.Sniffer().objects(b)
+        took.append(time.process_time() - start)
+    assert took[1] < 3.5 * took[0] + 0.5
+
+
+def test_sniff_media_of_odd_rows(spark):
+    long = b"x" * 3_000_000 + FILES["image/png"]
+    rows = [(1, long, None), (2, FILES["image/gif"], "image/gif"), (2, FILES["image/gif"], "image/gif"), (None, b"", None), (3, None, None)]
+    frame = spark.createDataFrame(rows, "id long, content binary, declared string").selectExpr("*", "'x' AS media_type", "'x' AS corrected")
+    got = M.sniff_media(frame, "content", "declared")
+    assert got.columns == ["id", "content", "declared", "media_type", "corrected", "facts", "carved"]
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["id"], []).append(r)
+    assert [(c["start"], c["type"]) for c in by[1][0]["carved"]] == [(3_000_000, "image/png")]
+    assert len(by[2]) == 2 and by[2][0] == by[2][1]
+    assert (by[None][0]["media_type"], by[3][0]["media_type"]) == ("application/octet-stream", None)
+    assert M.sniff_media(frame.limit(0), "content").count() == 0
+
+
 def test_column(spark):
     rows = [(1, FILES["image/png"], "image/gif"), (2, None, "x/y"), (3, b"", "text/plain"), (4, b"zz" + GIF, None)]
     frame = spark.createDataFrame(rows, "id long, content binary, declared string").selectExpr("*", "1 AS facts", "1 AS carved")

@@ -2,6 +2,11 @@
 
 Magic bytes only propose a type; a validator for each format confirms the structure and its lengths. A
 validated object at offset 0 corrects the declared type; validated objects at later offsets are carved.
+
+One pass of the automaton finds the beginnings of all formats and the marks that end some of them. Validators look
+ends up by binary search and share what they learn about chains of chunks, blocks, segments and pages, so the work
+grows with the content and not with the number of beginnings times its length. (The one exception is gzip: a stream
+is decompressed to its end, and beginnings inside a confirmed stream are not tried again as gzip.)
 """
 
 from __future__ import annotations
@@ -9,9 +14,12 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Callable
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +37,16 @@ MAGIC = (
     (b"PK\x03\x04", 0, "application/zip"),
     (b"\x1f\x8b\x08", 0, "application/gzip"),
     (b"%PDF-", 0, "application/pdf"),
+    (b"WEBP", 8, "image/webp"),
+    (b"ftyp", 4, "video/mp4"),
+    (b"OggS", 0, "audio/ogg"),
+    (b"fLaC", 0, "audio/flac"),
+    (b"ID3", 0, "audio/mpeg"),
 )
+#: Marks that end an object or a part of it.
+MARKS = (b"PK\x05\x06", b"%%EOF", b"startxref", b"\xff\xd9", b"%PDF-")
+#: Bytes between kept checksums, and that are decompressed at a time.
+STRIDE = 1 << 16
 
 
 def wav(payload: bytes, rate: int = 8000) -> bytes:
@@ -40,72 +57,165 @@ def wav(payload: bytes, rate: int = 8000) -> bytes:
     return struct.pack("<4sI", b"RIFF", len(body)) + body
 
 
-def _chunks(b: bytes, at: int, end: int) -> dict[bytes, tuple[int, int]] | None:
-    """RIFF chunks from `at` to `end`: name to (start, length); None if one runs over the end."""
-    found: dict[bytes, tuple[int, int]] = {}
-    while at + 8 <= end:
-        name, n = struct.unpack_from("<4sI", b, at)
-        if at + 8 + n > end:
-            return None
-        found.setdefault(name, (at + 8, n))
-        at += 8 + n + n % 2
-    return found
-
-
-def valid_wav(b: bytes, at: int) -> tuple[int, str] | None:
+class Content:
+    """Bytes, where their marks are, and what validators have found out about chains in them."""
+
+    def __init__(self, b: bytes, marks: dict[bytes, list[int]]) -> None:
+        self.b, self.marks = b, marks
+        self.memo: dict[str, dict] = defaultdict(dict)
+        self.kept: list[int] | None = None
+        self.gzip_until = 0
+        self.nul: np.ndarray | None = None
+        self.zips: dict[int, list[int]] | None = None
+
+    def next_mark(self, mark: bytes, at: int) -> int:
+        """The first place of a mark from `at` on, or -1."""
+        places = self.marks[mark]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def follow(self, name: str, at: int, step: Callable[[int], tuple[int | None, object]], join: Callable[[object, object], object], last: object = None):
+        """What a chain from `at` gives. step: (next place or None at the end, its value); join: of a link's value and the rest.
+
+        Each place is visited once per content, whatever number of chains run through it.
+        """
+        seen, path = self.memo[name], []
+        while at is not None and at not in seen:
+            ahead, value = step(at)
+            path.append((at, value))
+            at = ahead
+        rest = seen[at] if at is not None else last
+        for place, value in reversed(path):
+            rest = seen[place] = join(value, rest)
+        return rest
+
+    def zeros(self) -> np.ndarray:
+        """The places of zero bytes."""
+        if self.nul is None:
+            self.nul = np.flatnonzero(np.frombuffer(self.b, np.uint8) == 0)
+        return self.nul
+
+    def crc(self, start: int, end: int) -> int:
+        """CRC-32 of a part: long ones from checksums kept at every STRIDE bytes, so that overlapping parts stay cheap."""
+        if end - start <= 2 * STRIDE:
+            return zlib.crc32(memoryview(self.b)[start:end])
+        return self._upto(end) ^ _shifted(self._upto(start), end - start)
+
+    def _upto(self, end: int) -> int:
+        if self.kept is None:
+            view, self.kept = memoryview(self.b), [0]
+            for at in range(0, len(self.b) - STRIDE + 1, STRIDE):
+                self.kept.append(zlib.crc32(view[at : at + STRIDE], self.kept[-1]))
+        k = end // STRIDE
+        return zlib.crc32(memoryview(self.b)[k * STRIDE : end], self.kept[k])
+
+
+def _times(a: int, b: int) -> int:
+    """Product modulo the CRC-32 polynomial, highest power in the lowest bit."""
+    out = 0
+    for k in range(31, -1, -1):
+        if a >> k & 1:
+            out ^= b
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def _shifted(crc: int, n: int) -> int:
+    """The checksum's part in that of the same bytes with n more behind them."""
+    power, x = 0x00800000, crc  # x to the 8th
+    while n:
+        if n & 1:
+            x = _times(power, x)
+        power, n = _times(power, power), n >> 1
+    return x
+
+
+def _riff(c: Content, at: int) -> tuple | None:
+    """(start, length) of the first `fmt ` and `data` chunks of the chain that starts at `at`."""
+
+    def step(i: int):
+        if i + 8 > len(c.b):
+            return None, (None, None)
+        name, n = struct.unpack_from("<4sI", c.b, i)
+        here = (i + 8, n)
+        return i + 8 + n + n % 2, (here if name == b"fmt " else None, here if name == b"data" else None)
+
+    return c.follow("riff", at, step, lambda a, r: (a[0] or r[0], a[1] or r[1]), (None, None))
+
+
+def valid_wav(c: Content, at: int) -> tuple[int, str] | None:
+    b = c.b
     if len(b) < at + 44 or b[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
-    if end > len(b) or not (parts := _chunks(b, at + 12, end)) or not {b"fmt ", b"data"} <= parts.keys() or parts[b"fmt "][1] < 16:
+    if end > len(b):
+        return None
+    form, data = _riff(c, at + 12)
+    if not form or not data or form[1] < 16 or form[0] + form[1] > end or data[0] + data[1] > end:
         return None
-    code, channels, rate, speed, align, bits = struct.unpack_from("<HHIIHH", b, parts[b"fmt "][0])
-    n = parts[b"data"][1]
+    code, channels, rate, speed, align, bits = struct.unpack_from("<HHIIHH", b, form[0])
+    n = data[1]
     if code != 1 or not channels or align != channels * bits // 8 or not align or speed != rate * align or n % align:
         return None
     return end - at, f"{bits}-bit,{channels}ch,{rate}Hz,{n // align}"
 
 
-def valid_png(b: bytes, at: int) -> tuple[int, str] | None:
-    i, first, said = at + 8, True, ""
-    while i + 12 <= len(b):
+def valid_webp(c: Content, at: int) -> tuple[int, str] | None:
+    b = c.b
+    if len(b) < at + 20 or b[at : at + 4] != b"RIFF":
+        return None
+    size, name, n = struct.unpack_from("<I4x4sI", b, at + 4)
+    if name not in (b"VP8 ", b"VP8L", b"VP8X") or at + 8 + size > len(b) or 12 + n > size:
+        return None
+    return 8 + size, name.decode().strip()
+
+
+def valid_png(c: Content, at: int) -> tuple[int, str] | None:
+    b = c.b
+    if b[at + 12 : at + 16] != b"IHDR" or b[at + 8 : at + 12] != b"\0\0\0\x0d":
+        return None
+
+    def step(i: int):
+        if i + 12 > len(b):
+            return None, None
         n, name = struct.unpack_from(">I4s", b, i)
-        if i + 12 + n > len(b) or zlib.crc32(b[i + 4 : i + 8 + n]) != struct.unpack_from(">I", b, i + 8 + n)[0]:
-            return None
-        if first:
-            if name != b"IHDR" or n != 13:
-                return None
-            said, first = "{}x{}".format(*struct.unpack_from(">II", b, i + 8)), False
-        i += 12 + n
-        if name == b"IEND":
-            return i - at, said
-    return None
+        end = i + 12 + n
+        if end > len(b) or c.crc(i + 4, i + 8 + n) != struct.unpack_from(">I", b, i + 8 + n)[0]:
+            return None, None
+        return (None, end) if name == b"IEND" else (end, 0)
+
+    end = c.follow("png", at + 8, step, lambda v, r: r if v == 0 else v)
+    return (end - at, "{}x{}".format(*struct.unpack_from(">II", b, at + 16))) if end else None
 
 
-def valid_gif(b: bytes, at: int) -> tuple[int, str] | None:
+def valid_gif(c: Content, at: int) -> tuple[int, str] | None:
+    b = c.b
     if len(b) < at + 14:
         return None
     w, h, flags = struct.unpack_from("<HHB", b, at + 6)
-    i = at + 13 + (3 << (flags & 7) + 1 if flags & 128 else 0)
 
     def skip(i: int) -> int:
-        while i < len(b) and b[i]:
-            i += b[i] + 1
-        return i + 1
+        """Behind the last of the sub-blocks from i on."""
+        return c.follow("gif data", i, lambda k: (k + b[k] + 1, 0) if k < len(b) and b[k] else (None, k + 1), lambda v, r: v or r)
 
-    while i < len(b):
+    def step(i: int):
+        if i >= len(b):
+            return None, None
         if b[i] == 0x3B:
-            return i + 1 - at, f"{w}x{h}"
+            return None, i + 1
         if b[i] == 0x21:
-            i = skip(i + 2)
-        elif b[i] == 0x2C and i + 10 < len(b):
+            return skip(i + 2), 0
+        if b[i] == 0x2C and i + 10 < len(b):
             local = b[i + 9]
-            i = skip(i + 10 + (3 << (local & 7) + 1 if local & 128 else 0) + 1)
-        else:
-            return None
-    return None
+            return skip(i + 10 + (3 << (local & 7) + 1 if local & 128 else 0) + 1), 0
+        return None, None
+
+    end = c.follow("gif", at + 13 + (3 << (flags & 7) + 1 if flags & 128 else 0), step, lambda v, r: r if v == 0 else v)
+    return (end - at, f"{w}x{h}") if end else None
 
 
-def valid_bmp(b: bytes, at: int) -> tuple[int, str] | None:
+def valid_bmp(c: Content, at: int) -> tuple[int, str] | None:
+    b = c.b
     if len(b) < at + 54:
         return None
     size, zero, start, head, w, h, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -114,61 +224,199 @@ def valid_bmp(b: bytes, at: int) -> tuple[int, str] | None:
     return (size, f"{w}x{abs(h)}") if start + (w * bits + 31) // 32 * 4 * abs(h) <= size else None
 
 
-def valid_jpeg(b: bytes, at: int) -> tuple[int, str] | None:
-    i, said = at + 2, ""
-    while i + 4 <= len(b) and b[i] == 0xFF:
+def valid_jpeg(c: Content, at: int) -> tuple[int, str] | None:
+    b = c.b
+
+    def step(i: int):
+        if i + 4 > len(b) or b[i] != 0xFF:
+            return None, (None, "")
         mark, n = struct.unpack_from(">BH", b, i + 1)
         if n < 2:
-            return None
-        if mark in (0xC0, 0xC1, 0xC2) and i + 9 <= len(b):
-            said = "{1}x{0}".format(*struct.unpack_from(">HH", b, i + 5))
-        i += 2 + n
+            return None, (None, "")
+        said = "{1}x{0}".format(*struct.unpack_from(">HH", b, i + 5)) if mark in (0xC0, 0xC1, 0xC2) and i + 9 <= len(b) else ""
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", i)
-            return (end + 2 - at, said) if end >= 0 and said else None
-    return None
+            end = c.next_mark(b"\xff\xd9", i + 2 + n)
+            return None, (end + 2 if end >= 0 else None, said)
+        return i + 2 + n, (0, said)
+
+    end, said = c.follow("jpeg", at + 2, step, lambda v, r: (r[0] if v[0] == 0 else v[0], v[1] or (r[1] if r else "")))
+    return (end - at, said) if end and said else None
 
 
-def valid_zip(b: bytes, at: int) -> tuple[int, str] | None:
+def valid_zip(c: Content, at: int) -> tuple[int, str] | None:
     """Up to the first end record whose directory lies where it says; stored archives have end records of their own."""
-    end = b.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(b) - 22:
-        n, size, start, note = struct.unpack_from("<HIIH", b, end + 10)
-        if at + start + size == end and end + 22 + note <= len(b):
-            return end + 22 + note - at, f"{n} entries"
-        end = b.find(b"PK\x05\x06", end + 1)
+    if c.zips is None:
+        c.zips = defaultdict(list)
+        for end in c.marks[b"PK\x05\x06"]:
+            if end + 22 <= len(c.b):
+                _, size, start, note = struct.unpack_from("<HIIH", c.b, end + 10)
+                if end + 22 + note <= len(c.b):
+                    c.zips[end - start - size].append(end)
+    ends = c.zips.get(at, [])
+    k = bisect_right(ends, at)
+    if k == len(ends):
+        return None
+    n, _, _, note = struct.unpack_from("<HIIH", c.b, ends[k] + 10)
+    return ends[k] + 22 + note - at, f"{n} entries"
+
+
+def _deflated(c: Content, at: int) -> tuple[int, int, int] | None:
+    """(end, bytes, CRC-32) of the deflate stream at a place; found once for each place."""
+    if at not in c.memo["deflate"]:
+        open_, view, n, crc, end = zlib.decompressobj(-15), memoryview(c.b), 0, 0, at
+        try:
+            while end < len(c.b) and not open_.eof:  # in pieces, so that a bomb cannot fill memory
+                piece = view[end : end + STRIDE]
+                end += len(piece)
+                while len(piece) and not open_.eof:
+                    out = open_.decompress(piece, 1 << 20)
+                    n, crc, piece = n + len(out), zlib.crc32(out, crc), open_.unconsumed_tail
+        except zlib.error:
+            pass
+        c.memo["deflate"][at] = (end - len(open_.unused_data), n, crc) if open_.eof else None
+    return c.memo["deflate"][at]
+
+
+def valid_gzip(c: Content, at: int) -> tuple[int, str] | None:
+    b = c.b
+    if at < c.gzip_until or len(b) < at + 18 or (flags := b[at + 3]) & 0xE0:
+        return None
+    i = at + 10
+    if flags & 4:
+        i += 2 + struct.unpack_from("<H", b, i)[0]
+    for flag in (8, 16):  # name and remark end with a zero byte
+        if flags & flag:
+            k = bisect_left(c.zeros(), i)
+            if k == len(c.zeros()):
+                return None
+            i = int(c.zeros()[k]) + 1
+    i += flags & 2
+    if i >= len(b) or not (found := _deflated(c, i)) or found[0] + 8 > len(b):
+        return None
+    end, n, crc = found
+    if struct.unpack_from("<II", b, end) != (crc, n & 0xFFFFFFFF):
+        return None
+    c.gzip_until = end + 8
+    return end + 8 - at, f"{n} bytes"
+
+
+def valid_pdf(c: Content, at: int) -> tuple[int, str] | None:
+    """Up to the last %%EOF before the next header that a startxref precedes: linearised and updated files have several."""
+    if not c.b[at + 5 : at + 8].replace(b".", b"").isdigit():
+        return None
+    until, ends = c.next_mark(b"%PDF-", at + 5), c.marks[b"%%EOF"]
+    first, k = bisect_left(ends, at), bisect_left(ends, until if until >= 0 else len(c.b))
+    while k > first:
+        k -= 1
+        begin = ends[k - 1] if k > first else at
+        if 0 <= c.next_mark(b"startxref", max(at, begin)) < ends[k]:
+            return ends[k] + 5 - at, c.b[at + 5 : at + 8].decode()
     return None
 
 
-def valid_gzip(b: bytes, at: int) -> tuple[int, str] | None:
-    open_ = zlib.decompressobj(31)
-    try:
-        n, rest = 0, b[at:]
-        while rest and not open_.eof:  # in pieces, so that a bomb cannot fill memory
-            n += len(open_.decompress(rest, 1 << 20))
-            rest = open_.unconsumed_tail
-    except zlib.error:
+def valid_mp4(c: Content, at: int) -> tuple[int, str] | None:
+    """Boxes from `ftyp` on, up to the last one that fits; a `moov` is among them."""
+    b = c.b
+    if len(b) < at + 16 or not 16 <= struct.unpack_from(">I", b, at)[0] <= 1024 or not b[at + 8 : at + 12].isascii():
         return None
-    return (len(b) - at - len(open_.unused_data), f"{n} bytes") if open_.eof else None
 
+    def step(i: int):
+        if i + 8 > len(b):
+            return None, (i, False)
+        n, name = struct.unpack_from(">I4s", b, i)
+        if n == 1 and i + 16 <= len(b):
+            n = struct.unpack_from(">Q", b, i + 8)[0]
+        known = name in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"moof", b"mfra", b"sidx", b"styp", b"uuid", b"meta", b"wide", b"pnot", b"udta")
+        if n < 8 or not known or i + n > len(b):
+            return None, (i, False)
+        return i + n, (0, name == b"moov")
 
-def valid_pdf(b: bytes, at: int) -> tuple[int, str] | None:
-    """Up to the last %%EOF before the next header that a startxref precedes: linearised and updated files have several."""
-    if not b[at + 5 : at + 8].replace(b".", b"").isdigit():
+    end, moov = c.follow("mp4", at, step, lambda v, r: (r[0] if v[0] == 0 else v[0], v[1] or bool(r and r[1])))
+    return (end - at, b[at + 8 : at + 12].decode().strip()) if moov else None
+
+
+def _ogg_crc() -> list[int]:
+    table = []
+    for k in range(256):
+        r = k << 24
+        for _ in range(8):
+            r = (r << 1 ^ (0x04C11DB7 if r & 0x80000000 else 0)) & 0xFFFFFFFF
+        table.append(r)
+    return table
+
+
+OGG = _ogg_crc()
+
+
+def valid_ogg(c: Content, at: int) -> tuple[int, str] | None:
+    """Pages from a first one to a last one, each with its checksum."""
+    b = c.b
+    if len(b) < at + 27 or not b[at + 5] & 2:
+        return None
+
+    def step(i: int):
+        if i + 27 > len(b) or b[i : i + 5] != b"OggS\0":
+            return None, None
+        head = 27 + b[i + 26]
+        end = i + head + sum(b[i + 27 : i + head])
+        if end > len(b) or i + head > len(b):
+            return None, None
+        r = 0
+        for x in b[i : i + 22] + b"\0\0\0\0" + b[i + 26 : end]:  # a page has 65 KB at most
+            r = (r << 8 & 0xFFFFFFFF) ^ OGG[r >> 24 ^ x]
+        if r != struct.unpack_from("<I", b, i + 22)[0]:
+            return None, None
+        return (None, end) if b[i + 5] & 4 else (end, 0)
+
+    end = c.follow("ogg", at, step, lambda v, r: r if v == 0 else v)
+    return (end - at, f"stream {struct.unpack_from('<I', b, at + 14)[0]}") if end else None
+
+
+def valid_flac(c: Content, at: int) -> tuple[int, str] | None:
+    """Metadata blocks and a frame behind them. The format does not state its length: the object goes to the content's end."""
+    b = c.b
+    if len(b) < at + 42 or b[at + 4] & 127 or int.from_bytes(b[at + 5 : at + 8], "big") != 34:
         return None
-    until = b.find(b"%PDF-", at + 5)
-    end = b.rfind(b"%%EOF", at, until if until >= 0 else len(b))
-    while end >= 0:
-        before = b.rfind(b"%%EOF", at, end)
-        if b.find(b"startxref", max(at, before), end) >= 0:
-            return end + 5 - at, b[at + 5 : at + 8].decode()
-        end = before
-    return None
 
+    def step(i: int):
+        if i + 4 > len(b):
+            return None, None
+        end = i + 4 + int.from_bytes(b[i + 1 : i + 4], "big")
+        return (None, end) if b[i] & 128 else (end, 0)
 
-VALID: dict[str, Callable[[bytes, int], tuple[int, str] | None]] = {
+    end = c.follow("flac", at + 4, step, lambda v, r: r if v == 0 else v)
+    rate, channels = int.from_bytes(b[at + 18 : at + 21], "big") >> 4, (b[at + 20] >> 1 & 7) + 1
+    if not end or b[end : end + 2] not in (b"\xff\xf8", b"\xff\xf9") or not rate:
+        return None
+    return len(b) - at, f"{channels}ch,{rate}Hz"
+
+
+#: kbit/s of MPEG-1 layer 3 by index, and its sample rates.
+RATES, HERTZ = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 0), (44100, 48000, 32000, 0)
+
+
+def valid_mp3(c: Content, at: int) -> tuple[int, str] | None:
+    """An ID3 tag and the layer-3 frames behind it, three at least, up to the last whole one."""
+    b = c.b
+    if len(b) < at + 10 or b[at + 3] > 4 or any(x > 127 for x in b[at + 6 : at + 10]):
+        return None
+
+    def step(i: int):
+        if i + 4 > len(b) or b[i] != 0xFF or b[i + 1] & 0xFE != 0xFA:
+            return None, (i, 0)
+        rate, hertz = RATES[b[i + 2] >> 4], HERTZ[b[i + 2] >> 2 & 3]
+        n = 144000 * rate // hertz + (b[i + 2] >> 1 & 1) if rate and hertz else 0
+        return (i + n, (0, 1)) if n and i + n <= len(b) else (None, (i, 0))
+
+    start = at + 10 + (b[at + 6] << 21 | b[at + 7] << 14 | b[at + 8] << 7 | b[at + 9])
+    end, frames = c.follow("mp3", start, step, lambda v, r: (r[0] if v[1] else v[0], v[1] + (r[1] if v[1] else 0)))
+    return (end - at, f"{frames} frames") if frames >= 3 else None
+
+
+VALID: dict[str, Callable[[Content, int], tuple[int, str] | None]] = {
     "audio/wav": valid_wav, "image/png": valid_png, "image/gif": valid_gif, "image/bmp": valid_bmp, "image/jpeg": valid_jpeg,
-    "application/zip": valid_zip, "application/gzip": valid_gzip, "application/pdf": valid_pdf,
+    "application/zip": valid_zip, "application/gzip": valid_gzip, "application/pdf": valid_pdf, "image/webp": valid_webp,
+    "video/mp4": valid_mp4, "audio/ogg": valid_ogg, "audio/flac": valid_flac, "audio/mpeg": valid_mp3,
 }
 
 
@@ -181,21 +429,30 @@ class Sniffer:
 
     def _ready(self):
         if self.automaton is None:
-            a = ahocorasick.Automaton()
+            words: dict[bytes, tuple] = {}
             for magic, at, kind in MAGIC:
-                a.add_word(magic.decode("latin-1"), (len(magic) + at, kind))
+                words[magic] = (len(magic), len(magic) + at, kind, None)
+            for mark in MARKS:
+                n, back, kind, _ = words.get(mark, (len(mark), 0, None, None))
+                words[mark] = (n, back, kind, mark)
+            a = ahocorasick.Automaton()
+            for word, found in words.items():
+                a.add_word(word.decode("latin-1"), found)
             a.make_automaton()
             self.automaton = a
         return self.automaton
 
     def objects(self, b: bytes) -> list[tuple[int, int, str, str]]:
         """Validated (offset, length, type, facts), in order; what lies inside an earlier one is carved as well."""
-        found = []
-        for end, (n, kind) in self._ready().iter(b.decode("latin-1")):
-            start = end + 1 - n
-            if start >= 0 and (ok := VALID[kind](b, start)):
-                found.append((start, ok[0], kind, ok[1]))
-        return found
+        marks: dict[bytes, list[int]] = {m: [] for m in MARKS}
+        starts: list[tuple[int, str]] = []
+        for end, (n, back, kind, mark) in self._ready().iter(b.decode("latin-1")):
+            if mark:
+                marks[mark].append(end + 1 - n)
+            if kind and end + 1 - back >= 0:
+                starts.append((end + 1 - back, kind))
+        content = Content(b, marks)
+        return [(at, ok[0], kind, ok[1]) for at, kind in starts if (ok := VALID[kind](content, at))]
 
     def sniff(self, b: bytes, declared: str | None) -> dict:
         """The true type (the declared one if no signature holds at offset 0) and the carved objects."""
@@ -207,7 +464,7 @@ class Sniffer:
 
 def samples_of(b: bytes) -> bytes:
     """The samples of a validated WAV file."""
-    start, n = _chunks(b, 12, 8 + struct.unpack_from("<I", b, 4)[0])[b"data"]
+    start, n = _riff(Content(b, {}), 12)[1]
     return b[start : start + n]
 
 
@@ -222,7 +479,7 @@ def sniff_media(rows: DataFrame, content: str, declared: str | None = None) -> D
 
     def run(contents: pa.Array, kinds: pa.Array) -> pa.Array:
         out = []
-        for b, d in zip(contents.to_pylist(), kinds.to_pylist(), strict=True):
+        for b, d in ((x.as_py(), y.as_py()) for x, y in zip(contents, kinds, strict=True)):
             s = sniffer.sniff(b, d) if b is not None else {"type": None, "corrected": False, "facts": None, "carved": []}
             carved = [{"start": at, "length": n, "type": kind, "bytes": b[at : at + n]} for at, n, kind, _ in s["carved"]]
             out.append({"media_type": s["type"], "corrected": s["corrected"], "facts": s["facts"], "carved": carved})
