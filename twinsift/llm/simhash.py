@@ -68,17 +68,27 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_order(fps: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order by group, then by the Gray rank of the fingerprints' bits, word after word."""
+    ranks, odd = [], np.zeros(len(fps), np.uint64)
+    for word in fps.T:
+        ranks.append(gray_rank(word) ^ odd)  # an odd number of ones before reverses what follows
+        odd = np.where(ranks[-1] & np.uint64(1), np.uint64(ALL), np.uint64(0))
+    return np.lexsort((*reversed(ranks), group))
+
+
 class GrayTree:
     """Leaves of several groups, each group in Gray order and all in one array; nodes never span two groups.
 
-    Level 0 are the fingerprints. A node of a higher level covers a run of nodes below and holds `mask`, the
-    bits on which all its fingerprints agree, and `bits`, their values there.
+    Fingerprints have one or more 64-bit words. Level 0 are the fingerprints. A node of a higher level covers a run
+    of nodes below and holds `mask`, the bits on which all its fingerprints agree, and `bits`, their values there.
     """
 
     def __init__(self, fps: np.ndarray, group: np.ndarray, fan: int = FAN) -> None:
         n = len(fps)
+        fps = fps.reshape(n, -1)
         self.fps = fps
-        self.levels = [(fps, np.full(n, ALL, np.uint64), np.arange(n), np.arange(n) + 1)]  # bits, mask, first and last child
+        self.levels = [(fps, np.full_like(fps, ALL), np.arange(n), np.arange(n) + 1)]  # bits, mask, first and last child
         self.last = [np.arange(n)]  # the last fingerprint of each node
         bits, mask, of, last = fps, self.levels[0][1], group, np.arange(n)
         while len(of) and (of[1:] == of[:-1]).any():
@@ -86,8 +96,8 @@ class GrayTree:
             start = np.flatnonzero(new)
             rank = np.arange(len(of)) - np.repeat(start, np.diff(np.concatenate([start, [len(of)]])))
             head = np.flatnonzero(rank % fan == 0)
-            same = ~(np.bitwise_or.reduceat(bits ^ np.repeat(bits[head], np.diff(np.concatenate([head, [len(of)]]))), head))
-            mask = np.bitwise_and.reduceat(mask, head) & same
+            same = ~(np.bitwise_or.reduceat(bits ^ np.repeat(bits[head], np.diff(np.concatenate([head, [len(of)]])), axis=0), head, axis=0))
+            mask = np.bitwise_and.reduceat(mask, head, axis=0) & same
             end = np.concatenate([head[1:], [len(of)]])
             bits, of, last = bits[head] & mask, of[head], last[end - 1]
             self.levels.append((bits, mask, head, end))
@@ -126,39 +136,44 @@ class GrayTree:
         """Differences on the bits that the nodes fix and the nodes above them did not."""
         bits, mask, _, _ = self.levels[level]
         m = mask[node] if known is None else mask[node] & ~known
-        return np.bitwise_count((self.fps[q] ^ bits[node]) & m).astype(np.int64)
+        return np.bitwise_count((self.fps[q] ^ bits[node]) & m).sum(1, dtype=np.int64)
 
 
 class Forest:
-    """Least member of each set, by union with path halving."""
+    """Least member of each set; `up` always points to it."""
 
     def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+        self.up = np.arange(n)
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = self.find(x), self.find(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
-
-
-def forest_links(group: np.ndarray, fps: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, fingerprint it hangs on) of a spanning forest of the links in each group."""
-    order = np.lexsort((gray_rank(fps), group))
-    group, fps = group[order], fps[order]
-    tree, forest = GrayTree(fps, group), Forest(len(fps))
-    for a, b in tree.links(limit):
-        forest.join(a, b)
-    root = np.array([forest.find(i) for i in range(len(fps))], dtype=np.int64)
-    hangs = np.flatnonzero(root != np.arange(len(fps)))
-    return fps[hangs], fps[root[hangs]]
+        """Joins the sets of all pairs at once: greater roots hang on the least root they meet, until none differ."""
+        up = self.up
+        while len(a):
+            ra, rb = up[a], up[b]
+            apart = ra != rb
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            np.minimum.at(up, np.maximum(ra, rb), np.minimum(ra, rb))
+            while (nearer := up[up]).tobytes() != up.tobytes():
+                up[:] = nearer
+
+
+def forest_links(group: np.ndarray, fps: np.ndarray, limit: int = LIMIT, held: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(row, row it hangs on) of a spanning forest of the links in each group."""
+    fps = fps.reshape(len(fps), -1)
+    order = gray_order(fps, group)
+    tree, forest = GrayTree(fps[order], group[order]), Forest(len(fps))
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+    for found in tree.links(limit):
+        pairs.append(found)
+        waiting += len(found[0])
+        if waiting >= held:
+            forest.join(*map(np.concatenate, zip(*pairs, strict=True)))
+            pairs, waiting = [], 0
+    if pairs:
+        forest.join(*map(np.concatenate, zip(*pairs, strict=True)))
+    hangs = np.flatnonzero(forest.up != np.arange(len(fps)))
+    return order[hangs], order[forest.up[hangs]]
 
 
 # the upper nodes
@@ -183,8 +198,8 @@ def _leaf_edges(rows: DataFrame) -> DataFrame:
 
         def links(x: np.ndarray) -> pa.RecordBatch:
             new = np.concatenate([[False], (x[1:, :2] != x[:-1, :2]).any(1)])
-            a, b = forest_links(np.cumsum(new), x[:, 2].view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64), pa.int64()) for v in (a, b)], names=["a", "b"])
+            a, b = (x[rows, 2] for rows in forest_links(np.cumsum(new), np.ascontiguousarray(x[:, 2]).view(np.uint64)))
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b)], names=["a", "b"])
 
         rows_held, enough = 0, LEAF
         for batch in batches:
@@ -209,7 +224,7 @@ def linked(distinct: DataFrame, leaf: int = LEAF) -> DataFrame:
     """Edges (a, b) that connect all fingerprints within LIMIT bits. `distinct`: one row per value of fp.
 
     Leaves of up to `leaf` fingerprints go to tasks; larger nodes are refined, three levels deep at most, when
-    60 of 64 bits at least would be fixed by ever finer blocks only for groups of under 2**20 values.
+    about 45 of 64 bits are fixed (a third of what is free at each level), so that a node holds 2**19 values at most.
     """
     edges, nodes = [], distinct.select("fp")
     plans: list[tuple[int, list[int]]] = [(0, list(range(64)))]
@@ -310,4 +325,7 @@ def keep_least(docs: DataFrame, of: DataFrame, doc_id: str = "doc_id", text: str
     kept = of.select("least").distinct().select(*(F.col(f"least.{c}").alias(f"_{c}") for c in ("none", "mark")), F.coalesce("least.doc_id", F.lit(0).cast(docs.schema[doc_id].dataType)).alias("_id"))
     keyed = docs.withColumns({"_none": F.col(doc_id).isNull(), "_mark": F.xxhash64(F.col(text)), "_id": F.coalesce(F.col(doc_id), F.lit(0).cast(docs.schema[doc_id].dataType))})
     keys = ["_none", "_mark", "_id"]
-    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    rows = keyed.join(kept, keys, "left_semi")
+    if rows.groupBy(*keys).count().where("count > 1").isEmpty():  # read without texts; only true repeats make whole rows move
+        return rows.select(*docs.columns)
+    return rows.dropDuplicates(keys).select(*docs.columns)
