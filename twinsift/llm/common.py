@@ -126,14 +126,21 @@ def texts_of(docs: DataFrame, ids: list[tuple], kind: str, doc_id: str = "doc_id
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Makes sure that checkpoint() has a folder: the cluster's spark.checkpoint.dir, else one for tests."""
+    """Makes sure that checkpoint() has a folder: the cluster's spark.checkpoint.dir; where it is unset, one of this machine's if Spark runs on it alone."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="twinsift-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="twinsift-"))
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """The rows from the shared folder: lineage ends here, and the loss of an executor costs no more than a reread."""
+    """The rows from the shared folder: lineage ends here, and the loss of an executor costs no more than a reread.
+
+    Spark deletes them when nothing refers to them any more, if the session was made with
+    spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
     shared_folder(rows.sparkSession)
     return rows.checkpoint(eager=True)
 

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, language_id, license_scan, media, mixing, quality_crf, quality_rules, sentencepiece_codec, simhash, toxicity
 from .common import table
 
 
-def tokenizer() -> str:
-    """Place of the public SentencePiece model; TWINSIFT_SENTENCEPIECE names another one."""
-    import os
+#: Place of the public SentencePiece model that the queries use, unless TWINSIFT_SENTENCEPIECE names another one.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
-    if path := os.environ.get("TWINSIFT_SENTENCEPIECE"):
-        return path
-    import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+def tokenizer() -> str:
+    return os.environ.get("TWINSIFT_SENTENCEPIECE", MODEL)
 
 
 def op3(spark: SparkSession, d: str) -> DataFrame:

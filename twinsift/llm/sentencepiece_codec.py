@@ -69,11 +69,10 @@ class Model:
     prefix: bool  # a space goes before the text
 
     @classmethod
-    def read(cls, path: str) -> Model:
+    def of(cls, data: bytes) -> Model:
+        """The model in a file's bytes."""
         import struct
 
-        with open(path, "rb") as f:
-            data = f.read()
         pieces, kind, prefix = [], UNIGRAM, True
         for k, v in _fields(data):
             if k == 1:
@@ -90,18 +89,23 @@ class Model:
 
 
 class Codec:
-    """Encoder and decoder of one model. At most twice `memo` words keep their ids."""
+    """Encoder and decoder of one model. At most twice `memo` words keep their ids.
+
+    The model's file is read where the codec is made and its bytes go with the job: executors need no such file.
+    """
 
     def __init__(self, path: str, memo: int = 400_000) -> None:
-        self.path, self.bound = path, memo
+        with open(path, "rb") as f:
+            self.data = f.read()
+        self.bound = memo
         self.model = None
 
     def __getstate__(self) -> dict:
-        return {"path": self.path, "bound": self.bound, "model": None}  # built again where it is used
+        return {"data": self.data, "bound": self.bound, "model": None}  # built again where it is used
 
     def ready(self) -> Codec:
         if self.model is None:
-            m = self.model = Model.read(self.path)
+            m = self.model = Model.of(self.data)
             self.own = {p: i for i, (p, _, kind) in enumerate(m.pieces) if kind in (NORMAL, USER)}
             if any(MARK in p.lstrip(MARK) for p in self.own):
                 raise ValueError("a piece has a white-space mark inside: words cannot be encoded alone")
