@@ -27,7 +27,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more, verified."""
+    """One document of each group of near-duplicates stays: candidates by SimHash, verified by five-word shingles at a similarity of 0.8 or more."""
     return near_copies.keep_one(docs)
 
 
@@ -49,12 +49,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", tokens),
 ]
 
-#: No SQL expresses the fitted classifiers; tests hold the stages against brute force.
+#: No SQL expresses the fitted classifiers; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each result but the last is written to the shared folder and read again."""
+    """All stages over documents. Each result but the last is written to the shared folder and read again.
+
+    What a stage has read is deleted once its own result is written; the last one's input stays, as its rows are not
+    read before the caller asks for them.
+    """
     shared_folder(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
@@ -63,4 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs
