@@ -17,6 +17,31 @@ def test_a_folded_stream_equals_the_folded_table(spark, tmp_path):
     state = follow.fold_stream(stream, f"file://{tmp_path}/state", ("seq",), f"file://{tmp_path}/check")
     want = events.fold(spark.createDataFrame(rows, schema), "seq")
     assert sorted(map(tuple, state().select("path", "type", "seq").collect())) == sorted(map(tuple, want.collect()))
+    again = lambda: follow.fold_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), f"file://{tmp_path}/state", ("seq",), f"file://{tmp_path}/check")
+    assert sorted(map(tuple, again()().select("path", "type", "seq").collect())) == sorted(map(tuple, want.collect()))  # a restart without news
+    more = [("/p1", "Deleted", 1000), ("/new", "Modified", 1001)]
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    want = events.fold(spark.createDataFrame(rows + more, schema), "seq")
+    assert sorted(map(tuple, again()().select("path", "type", "seq").collect())) == sorted(map(tuple, want.collect()))
+    assert len([p for p in (tmp_path / "state").iterdir() if p.name.isdigit()]) == 2  # the last state and the one before
+
+
+def test_one_bad_event_does_not_stop_the_others(spark, tmp_path):
+    rows = [(0, "/good", "Modified"), (1, "/bad", "Modified"), (2, "/also", "Deleted")]
+    spark.createDataFrame(rows, "seq long, path string, type string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    handled = []
+
+    class Engine:
+        def handle_changes(self, changes):
+            paths = sorted(r["path"] for r in changes.collect())
+            if "/bad" in paths:
+                raise ValueError("no")
+            handled.extend(paths)
+            return changes
+
+    stream = spark.readStream.schema("seq long, path string, type string").parquet(str(tmp_path / "in"))
+    follow.follow(Engine(), stream, f"file://{tmp_path}/check", lambda r: None, once=True).awaitTermination()
+    assert sorted(handled) == ["/also", "/good"]
 
 
 def test_differences():

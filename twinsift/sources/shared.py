@@ -9,6 +9,9 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's spark.checkpoint.dir; a local temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='twinsift-')}"
+    """A new folder below the cluster's spark.checkpoint.dir; where that is unset, one of this machine's if Spark runs on it alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or f"file://{tempfile.mkdtemp(prefix='twinsift-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

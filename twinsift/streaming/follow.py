@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.hashing import Interrupted
 from ..operators import events
 from ..plans.session import Session
 from ..schemas import SAYS_NOT_WRITABLE, SKIPPED
@@ -17,13 +18,29 @@ log = logging.getLogger("twinsift")
 
 
 def follow(session: Session, changes: DataFrame, checkpoint: str, on_results: Callable[[DataFrame], None], once: bool = False, every: str = "1 second") -> StreamingQuery:
-    """Keeps the index up to date with a stream of (seq, path, type): each batch is folded to the last event of a path."""
+    """Keeps the index up to date with a stream of (seq, path, type): each batch is folded to the last event of a path.
+
+    A batch that fails is handled again event by event, so one bad event is logged and left out and the others count.
+    """
 
     def batch(rows: DataFrame, _: int) -> None:
         last = events.fold(rows, "seq").select("path", "type").persist()
         try:
-            if not last.isEmpty():
+            if last.isEmpty():
+                return
+            try:
                 on_results(session.handle_changes(last))
+            except Interrupted:
+                raise
+            except Exception as e:  # noqa: BLE001
+                log.warning("A batch of changes failed and is handled one by one: %s", e)
+                for event in last.toLocalIterator():
+                    try:
+                        on_results(session.handle_changes(last.sparkSession.createDataFrame([event], last.schema)))
+                    except Interrupted:
+                        raise
+                    except Exception as e:  # noqa: BLE001
+                        log.error("The change of %s is left out: %s", event["path"], e)
         finally:
             last.unpersist()
 
@@ -34,23 +51,35 @@ def follow(session: Session, changes: DataFrame, checkpoint: str, on_results: Ca
 def fold_stream(stream: DataFrame, folder: str, order: tuple[str, ...], checkpoint: str) -> Callable[[], DataFrame]:
     """Folds an event stream (path, type, order columns) into the last event of each path; the result reads the state.
 
-    The state is a Parquet table per batch: batch n merges table n - 1 with its own rows, which come in with one
-    exchange on path. A batch that runs again overwrites its own table, so each event counts once.
+    The state is a Parquet table per batch: batch n merges the whole table before it with its own rows, which come in
+    with one exchange on path. A table counts once it is whole (Spark's _SUCCESS mark is in it), so after a restart the
+    state is there at once; a batch that runs again overwrites its own table, so each event counts once. Tables older
+    than the one before are deleted.
     """
     spark = stream.sparkSession
     schema = stream.schema
-    done: list[int] = []
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def whole() -> list[int]:
+        """Numbers of the batches whose tables are whole."""
+        if not fs.exists(path(folder)):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path(folder))]
+        return sorted(int(n) for n in names if n.isdigit() and fs.exists(path(f"{folder}/{n}/_SUCCESS")))
 
     def read(n: int) -> DataFrame:
         return spark.read.schema(schema).parquet(f"{folder}/{n}") if n >= 0 else spark.createDataFrame([], schema)
 
     def batch(rows: DataFrame, n: int) -> None:
-        merged = read(n - 1).unionByName(events.fold(rows, *order))
+        before = [k for k in whole() if k < n]
+        merged = read(max(before, default=-1)).unionByName(events.fold(rows, *order))
         events.fold(merged, *order).write.mode("overwrite").parquet(f"{folder}/{n}")
-        done.append(n)
+        for k in before[:-1]:
+            fs.delete(path(f"{folder}/{k}"), True)
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return lambda: read(max(done, default=-1))
+    return lambda: read(max(whole(), default=-1))
 
 
 def unwritable(results: DataFrame) -> DataFrame:
