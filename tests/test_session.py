@@ -140,33 +140,50 @@ def test_single_changes(spark, tmp_path, tree):
     assert s.store.paths.count() == 1
 
 
-def pair(one, two, digest):
-    return {"canonical_path": str(one), "duplicate_path": str(two), "digest": digest, "size_bytes": 4}
+def pairs_of(spark, *rows):
+    return spark.createDataFrame([(str(a), str(b), d, 4) for a, b, d in rows], "canonical_path string, duplicate_path string, digest string, size_bytes long")
 
 
-def test_changes_between_scan_and_apply(tree):
+def test_changes_between_scan_and_apply(spark, tree):
     from twinsift.functions.hashing import hash_file
+    from twinsift.operators import ops
 
     d = hash_file(str(tree / "a"))
-    assert effector.verdict(pair(tree / "c", tree / "b", d), "sha256")["message"] == S.SAYS_CANONICAL_CHANGED
-    assert effector.verdict(pair(tree / "a", tree / "c", d), "sha256")["message"] == S.SAYS_DUPLICATE_CHANGED
-    assert effector.verdict(pair(tree / "a", tree / "link", d), "sha256")["message"] == S.SAYS_SYMLINK
-    checked = effector.verdict(pair(tree / "a", tree / "b", d), "sha256")
+    pairs = pairs_of(spark, (tree / "c", tree / "b", d), (tree / "a", tree / "c", d), (tree / "a", tree / "link", d), (tree / "nothing", tree / "d", d), (tree / "a", tree / "b", d))
+    checked = {(os.path.basename(r["canonical_path"]), os.path.basename(r["duplicate_path"])): r.asDict() for r in ops.preflight(effector.looked_at(pairs, "sha256")).collect()}
+    assert checked["c", "b"]["message"] == S.SAYS_CANONICAL_CHANGED
+    assert checked["a", "c"]["message"] == S.SAYS_DUPLICATE_CHANGED
+    assert checked["a", "link"]["message"] == S.SAYS_SYMLINK
+    assert checked["nothing", "d"]["status"] == S.FAILED
+    go = checked["a", "b"]
+    assert go["status"] is None
     (tree / "b").write_text("late")
-    result, state, _ = effector.replace(checked, str(tree / "tmp"))
-    assert (result["message"], state) == (S.SAYS_DUPLICATE_CHANGED, "failed")
+    assert effector.replace(go | {"backup_path": str(tree / "tmp")}) == S.SAYS_DUPLICATE_CHANGED
     assert (tree / "b").read_text() == "late"
-    gone = effector.verdict(pair(tree / "nothing", tree / "b", d), "sha256")
-    assert gone["status"] == S.FAILED
 
 
-def test_a_failed_link_restores_the_duplicate(tree, monkeypatch):
+def test_a_replacement_that_runs_again_finds_its_link(tree):
     from twinsift.functions.hashing import hash_file
 
-    checked = effector.verdict(pair(tree / "a", tree / "b", hash_file(str(tree / "a"))), "sha256")
+    pair = {"canonical_path": str(tree / "a"), "duplicate_path": str(tree / "b"), "digest": hash_file(str(tree / "a"))}
+    op = pair | effector.look(pair, "sha256") | {"backup_path": str(tree / "b.tmp")}
+    assert effector.replace(op) == ""
+    (tree / "b.tmp").write_text("left by a lost task")
+    assert effector.replace(op) == ""
+    assert not (tree / "b.tmp").exists()
+    assert os.stat(tree / "a").st_ino == os.stat(tree / "b").st_ino
+
+
+def test_a_failed_link_restores_the_duplicate(spark, tree, monkeypatch):
+    from twinsift.functions.hashing import hash_file
+    from twinsift.operators import ops
+
+    pair = {"canonical_path": str(tree / "a"), "duplicate_path": str(tree / "b"), "digest": hash_file(str(tree / "a"))}
+    op = pair | effector.look(pair, "sha256") | {"backup_path": str(tree / "b.tmp")}
     monkeypatch.setattr(os, "link", lambda *_: (_ for _ in ()).throw(PermissionError(13, "no")))
-    result, state, message = effector.replace(checked, str(tree / "tmp"))
-    assert (result["status"], state, message) == (S.SKIPPED, "failed", S.SAYS_NOT_WRITABLE)
+    fault = effector.replace(op)
+    got = ops.results(spark.createDataFrame([(str(tree / "a"), str(tree / "b"), "d", 4, None, "", fault)], "canonical_path string, duplicate_path string, digest string, size_bytes long, status string, message string, fault string")).first()
+    assert (got["status"], got["op_status"], got["message"]) == (S.SKIPPED, "failed", S.SAYS_NOT_WRITABLE)
     assert (tree / "b").read_text() == "same"
 
 
@@ -197,6 +214,75 @@ def test_the_store_swaps_whole_tables(spark, tmp_path):
         IndexStore(spark, f"file://{tmp_path}/s", "blake3")
 
 
+def test_merges_write_what_changes(spark, tmp_path):
+    import twinsift.sources.store as st
+
+    store = IndexStore(spark, f"file://{tmp_path}/s")
+    schema = "path string, device long, inode long, last_seen long"
+    none = spark.createDataFrame([], "path string")
+    store.commit(paths=spark.createDataFrame([(f"/{k}", 1, k, 5) for k in range(100)], schema))
+    store.merge(paths=(spark.createDataFrame([("/3", 1, 3, 9), ("/new", 1, 200, 9)], schema), spark.createDataFrame([("/4",), ("/none",)], "path string")))
+    store.merge(paths=(spark.createDataFrame([("/4", 1, 4, 11)], schema), spark.createDataFrame([("/5",)], "path string")))
+    want = sorted([(f"/{k}", 1, k, 5) for k in range(100) if k not in (3, 4, 5)] + [("/3", 1, 3, 9), ("/new", 1, 200, 9), ("/4", 1, 4, 11)])
+    assert sorted(map(tuple, store.paths.collect())) == want
+    for k in range(st.MERGE):
+        store.merge(paths=(spark.createDataFrame([("/3", 1, 3, 20 + k)], schema), none))
+    assert len(store._pointer()["tables"]["paths"]) <= 2
+    assert store.paths.where("path = '/3'").first()["last_seen"] == 19 + st.MERGE
+    assert store.paths.count() == len(want)
+
+
+def test_changes_of_the_index_equal_upsert_and_remove(spark):
+    import random
+
+    from twinsift.operators import index
+
+    rng = random.Random(3)
+    entry = lambda p, i, d: (p, 1, 2, i, 1, 0, 0, 0, d, rng.randrange(9))
+    schema = "path string, size long, mtime_ns long, inode long, device long, mode long, uid long, gid long, digest string, last_seen long"
+    before = spark.createDataFrame([entry(f"/{k}", k // 2, f"d{k // 2}") for k in range(30)], schema)
+    found = spark.createDataFrame([entry(f"/{k}", 50 + k % 3, f"n{k % 3}") for k in range(4, 12)], schema)
+    gone = spark.createDataFrame([(f"/{k}",) for k in (0, 1, 2, 4, 29, 77)], "path string")
+    paths, inodes = index.split(before)
+    want = index.upsert(*index.remove(paths, inodes, gone), found)
+    new_paths, out, new_inodes, bare = index.changes(paths, inodes, found, gone)
+    got_paths = paths.join(out.unionByName(new_paths.select("path")), "path", "left_anti").unionByName(new_paths)
+    got_inodes = inodes.join(bare.unionByName(new_inodes.select("device", "inode")), ["device", "inode"], "left_anti").unionByName(new_inodes)
+    rows = lambda f, c: sorted(map(tuple, f.select(*c).collect()))
+    assert rows(got_paths, index.PATH_COLUMNS) == rows(want[0], index.PATH_COLUMNS)
+    assert rows(got_inodes, index.INODE_COLUMNS) == rows(want[1], index.INODE_COLUMNS)
+
+
+def test_observers_see_decisions_pairs_results_and_progress(spark, tmp_path, tree):
+    from twinsift.plans.session import Observers
+
+    s, seen = engine(spark, tmp_path, tree), {"decision": [], "pair": [], "result": [], "progress": []}
+    s.observers = Observers(*(seen[k].append for k in seen), every=3)
+    s.run_full_scan()
+    assert [len(seen[k]) for k in seen] == [4, 2, 2, 2]
+    assert seen["progress"] == [{"seen": 3, "hits": 0, "misses": 3}, {"seen": 4, "hits": 0, "misses": 4}]
+    assert [os.path.basename(r["duplicate_path"]) for r in seen["pair"]] == ["b", ".hidden"]
+
+
+def test_deep_trees_and_large_flat_folders(spark, tmp_path):
+    deep = tmp_path / "deep"
+    deep.mkdir()
+    os.chdir(deep)
+    for _ in range(1200):  # by steps: the whole path is longer than a call takes
+        os.mkdir("d")
+        os.chdir("d")
+    os.chdir(tmp_path)
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for k in range(250):
+        (flat / f"f{k}").touch()
+    reader = filesystem.TreeReader([str(flat)], (), 8, share=100)
+    parts = reader.partitions()
+    assert len(parts) == 3
+    assert sorted(r[1] for p in parts for r in reader.read(p)) == sorted(str(flat / f"f{k}") for k in range(250))
+    assert sum(1 for _ in filesystem.walk(str(deep), str(deep))) <= 1
+
+
 def test_one_instance(tmp_path):
     path = str(tmp_path / "lock")
     with LockFile(path), pytest.raises(RuntimeError, match="already held"):

@@ -75,6 +75,16 @@ def in_order(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy("size_bytes", "digest", "duplicate_path")
 
 
+def placed(ordered: DataFrame) -> DataFrame:
+    """Rows of an ordered table with their place in it, from 0. Only the sizes of its partitions are summed in one task."""
+    ordered = ordered.checkpoint() if ordered.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else ordered.persist()
+    marked = ordered.withColumn("_at", F.monotonically_increasing_id())
+    part, here = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    ahead = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))
+    return marked.withColumn("_part", part).join(F.broadcast(ahead), "_part").select((F.col("_ahead") + here).alias("place"), *ordered.columns)
+
+
 def dry_run_results(pairs: DataFrame) -> DataFrame:
     """What a dry run reports for its pairs."""
     return pairs.select(*DUPE_PAIR, F.lit(SKIPPED).alias("status"), F.lit(SAYS_DRY_RUN).alias("message"))

@@ -37,9 +37,17 @@ def live(events: DataFrame, *order: str) -> DataFrame:
 
 
 def matches(changed: DataFrame, index: DataFrame) -> DataFrame:
-    """Each changed file (path, digest, size) with all other entries of its digest, by content alone."""
-    other = index.select(F.col("path").alias("other_path"), "digest")
-    return changed.select("path", "digest", "size").join(other, "digest").where("path <> other_path")
+    """Each changed file (path, digest, size) that others equal: with the first other path of its digest, and how many others there are.
+
+    Content alone counts. Of the index only entries of changed digests are grouped, and of each digest the two least
+    paths are all that is needed: one row for each changed file, however many entries share a content.
+    """
+    held = index.select("path", "digest").join(changed.select("digest").distinct(), "digest", "left_semi")
+    first = held.groupBy("digest").agg(F.min("path").alias("first"), F.count("*").alias("n"))
+    second = held.join(first.select("digest", "first"), "digest").where("path <> first").groupBy("digest").agg(F.min("path").alias("second"))
+    met = changed.select("path", "digest", "size").join(first, "digest").join(second, "digest", "left")
+    other = F.when(F.col("path") != F.col("first"), F.col("first")).otherwise(F.col("second"))
+    return met.select("path", "digest", "size", other.alias("other_path"), (F.col("n") - 1).alias("others")).where("other_path IS NOT NULL")
 
 
 def pairs_of_changes(changed: DataFrame, index: DataFrame) -> DataFrame:
@@ -47,12 +55,8 @@ def pairs_of_changes(changed: DataFrame, index: DataFrame) -> DataFrame:
 
     Other matches are left alone, and hard links of each other are paired too: event handling differs from a scan here.
     """
-    other = index.groupBy("digest").agg(F.min("path").alias("first"))
-    second = index.join(other.select("digest", "first"), "digest").where("path <> first").groupBy("digest").agg(F.min("path").alias("second"))
-    met = changed.select("path", "digest", "size").join(other, "digest").join(second, "digest", "left")
-    match = F.when(F.col("path") != F.col("first"), F.col("first")).otherwise(F.col("second"))
-    found = met.withColumn("_other", match).where("_other IS NOT NULL")
-    return found.select(F.least("path", "_other").alias("canonical_path"), F.greatest("path", "_other").alias("duplicate_path"), "digest", F.col("size").alias("size_bytes"))
+    least, greatest = F.least("path", "other_path"), F.greatest("path", "other_path")
+    return matches(changed, index).select(least.alias("canonical_path"), greatest.alias("duplicate_path"), "digest", F.col("size").alias("size_bytes"))
 
 
 def unwritable_once(results: DataFrame) -> DataFrame:

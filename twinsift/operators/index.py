@@ -22,12 +22,12 @@ def entries(paths: DataFrame, inodes: DataFrame) -> DataFrame:
 
 def split(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(paths, inodes) of entries. Of entries that disagree on a key, the last by (last_seen, path) stands."""
-    paths = _last(found, ("path",), ("last_seen", "device", "inode")).select(*PATH_COLUMNS)
-    inodes = _last(found, INODE, ("last_seen", "path")).select(*INODE_COLUMNS)
+    paths = last_of(found, ("path",), ("last_seen", "device", "inode")).select(*PATH_COLUMNS)
+    inodes = last_of(found, INODE, ("last_seen", "path")).select(*INODE_COLUMNS)
     return paths, inodes
 
 
-def _last(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+def last_of(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """The last row of each key: a maximum of structs, so that copies meet before the exchange."""
     rest = [c for c in rows.columns if c not in order]
     best = F.max(F.struct(*order, F.struct(*rest).alias("_rest"))).alias("_best")
@@ -46,6 +46,19 @@ def upsert(paths: DataFrame, inodes: DataFrame, found: DataFrame) -> tuple[DataF
     return all_paths, all_inodes.join(all_paths.select(*INODE), list(INODE), "left_semi").select(*INODE_COLUMNS)
 
 
+def changes(paths: DataFrame, inodes: DataFrame, found: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What entries `found` and removed paths `gone` (column path) change: (new paths, paths that go, new inodes, inodes that go).
+
+    upsert(remove(...)) as a delta: only rows of the changed paths and of the inodes that they hold or have left.
+    """
+    new_paths, new_inodes = split(found)
+    out = gone.select("path").join(new_paths.select("path"), "path", "left_anti").distinct()
+    touched = new_paths.select("path").unionByName(out)
+    left = paths.join(touched, "path", "left_semi").select(*INODE).distinct().join(new_inodes.select(*INODE), list(INODE), "left_anti")
+    others = paths.join(left, list(INODE), "left_semi").join(touched, "path", "left_anti").select(*INODE)
+    return new_paths, out, new_inodes, left.join(others, list(INODE), "left_anti")
+
+
 def find_by_path(index: DataFrame, path: str) -> DataFrame:
     return index.where(F.col("path") == path)
 
@@ -98,4 +111,4 @@ def remove(paths: DataFrame, inodes: DataFrame, gone: DataFrame) -> tuple[DataFr
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key by `order`; of rows alike in that, the greatest. A key may have any share of all rows."""
-    return _last(rows, (key,), order)
+    return last_of(rows, (key,), order)

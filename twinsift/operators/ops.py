@@ -34,7 +34,8 @@ def preflight(pairs: DataFrame) -> DataFrame:
     """Whether each pair can be linked now: status (null: go ahead) and message, by the first check that stops it.
 
     Pairs carry what is true at this moment: canonical_symlink, duplicate_symlink, canonical_device,
-    duplicate_device, canonical_inode, duplicate_inode, canonical_now, duplicate_now (digests).
+    duplicate_device, canonical_inode, duplicate_inode, canonical_now, duplicate_now (digests); what was not looked at,
+    since an earlier check stops the pair, is null. A column `error`, if there is one, is what looking ran into.
     """
     checks = (
         (F.col("canonical_symlink") | F.col("duplicate_symlink"), S.SKIPPED, S.SAYS_SYMLINK),
@@ -44,6 +45,8 @@ def preflight(pairs: DataFrame) -> DataFrame:
         (F.col("duplicate_now") != F.col("digest"), S.SKIPPED, S.SAYS_DUPLICATE_CHANGED),
     )
     status, message = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
+    if "error" in pairs.columns:
+        status, message = status.when(F.col("error").isNotNull(), F.lit(S.FAILED)), message.when(F.col("error").isNotNull(), F.col("error"))
     for stops, said, why in checks:
         status, message = status.when(stops, F.lit(said)), message.when(stops, F.lit(why))
     return pairs.select("*", status.alias("status"), F.coalesce(message, F.lit("")).alias("message"))
@@ -52,16 +55,25 @@ def preflight(pairs: DataFrame) -> DataFrame:
 def results(checked: DataFrame) -> DataFrame:
     """Results of an apply from checked pairs and `fault`, what the replacement ran into ('' nothing, 'EACCES', 'EPERM', or a text).
 
-    A path that cannot be written is skipped, though its operation counts as failed in the log.
+    A path that cannot be written, or a file that has changed since it was checked, is skipped, though the operation
+    counts as failed in the log.
     """
     go, fault = F.col("status").isNull(), F.col("fault")
     unwritable = fault.isin("EACCES", "EPERM")
-    status = F.when(~go, F.col("status")).when(fault == "", S.LINKED).when(unwritable, S.SKIPPED).otherwise(S.FAILED)
+    late = fault.isin(S.SAYS_CANONICAL_CHANGED, S.SAYS_DUPLICATE_CHANGED)
+    status = F.when(~go, F.col("status")).when(fault == "", S.LINKED).when(unwritable | late, S.SKIPPED).otherwise(S.FAILED)
     message = F.when(~go, F.col("message")).when(fault == "", "").when(unwritable, S.SAYS_NOT_WRITABLE).otherwise(fault)
     op = F.when(go, F.when(fault == "", S.OP_DONE).otherwise(S.OP_FAILED))
     return checked.select(*S.DUPE_PAIR, status.alias("status"), message.alias("message"), op.alias("op_status"))
 
 
+def ended(planned: DataFrame, replaced: DataFrame) -> DataFrame:
+    """The log's last states of planned operations (with id, seq and so on) from the results of their pairs."""
+    result = results(replaced).select("duplicate_path", "op_status", F.col("message").alias("said"))
+    met = planned.join(result, planned["duplicate"] == result["duplicate_path"])
+    return met.select("id", (F.col("seq") + 1).alias("seq"), "canonical", "duplicate", "backup_path", F.col("op_status").alias("status"), F.col("said").alias("message"), "created_at")
+
+
 def recovery(planned: DataFrame) -> DataFrame:
     """What becomes of each planned operation, from what exists now: canonical_exists, duplicate_exists, backup_exists, same_inode.
 

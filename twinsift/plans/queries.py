@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..operators import cache, detect, events, index, ops
+from ..sources.shared import folder
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,6 +111,11 @@ def _(spark, d):
     return detect.dry_run_results(detect.dupe_pairs(X.files(spark, d), dry_run=True))
 
 
+@query("results_in_order", f"""{_DRY} SELECT row_number() OVER (ORDER BY size_bytes, digest, duplicate_path) - 1 AS place, canonical_path, duplicate_path, digest, size_bytes FROM fresh""")
+def _(spark, d):
+    return detect.placed(detect.in_order(detect.dupe_pairs(X.files(spark, d), dry_run=True)))
+
+
 @query("distinct_inodes", f"WITH {X.FILES} SELECT DISTINCT device, inode FROM files")
 def _(spark, d):
     return detect.distinct_inodes(X.files(spark, d))
@@ -231,6 +239,35 @@ def _(spark, d):
     return index.orphans(index.retain(paths, 500), inodes).select("device", "inode", "digest")
 
 
+@query("prune_cascade", f"WITH {X.KNOWN} SELECT device, inode, digest FROM inodes i WHERE EXISTS (SELECT 1 FROM paths p WHERE p.last_seen >= 500 AND p.device = i.device AND p.inode = i.inode)")
+def _(spark, d):
+    # paths go by retention, and with them the inodes that only they held
+    paths, inodes = X.stored(spark, d)
+    return index.prune(index.retain(paths, 500), inodes).select("device", "inode", "digest")
+
+
+@query("index_changes", f"""{_ENTRIES}, found AS (SELECT * FROM files WHERE source = 'src2'), gone AS (SELECT path FROM paths WHERE path LIKE '/data/src3/%'), touched AS (
+  SELECT path FROM found UNION SELECT path FROM gone
+), left_ AS (SELECT DISTINCT device, inode FROM paths WHERE path IN (SELECT path FROM touched) EXCEPT SELECT device, inode FROM found)
+SELECT 'path' AS what, path, device, inode, true AS stays FROM found UNION ALL SELECT 'path', path, NULL, NULL, false FROM gone
+UNION ALL SELECT DISTINCT 'inode', NULL, device, inode, true FROM found
+UNION ALL SELECT 'inode', NULL, device, inode, false FROM left_ l WHERE NOT EXISTS (SELECT 1 FROM paths p WHERE p.device = l.device AND p.inode = l.inode AND p.path NOT IN (SELECT path FROM touched))""")
+def _(spark, d):
+    # one source was scanned again, another one is removed: what the index has to write
+    paths, inodes = X.stored(spark, d)
+    found = X.files(spark, d).where("source = 'src2'").withColumn("last_seen", F.lit(X.NOW).cast("long"))
+    gone = paths.where(F.col("path").startswith("/data/src3/")).select("path")
+    new_paths, out, new_inodes, bare = index.changes(paths, inodes, found, gone)
+    none, number = F.lit(None).cast("string"), F.lit(None).cast("long")
+    parts = [
+        new_paths.select(F.lit("path").alias("what"), "path", "device", "inode", F.lit(True).alias("stays")),
+        out.select(F.lit("path").alias("what"), "path", number.alias("device"), number.alias("inode"), F.lit(False).alias("stays")),
+        new_inodes.select(F.lit("inode").alias("what"), none.alias("path"), "device", "inode", F.lit(True).alias("stays")),
+        bare.select(F.lit("inode").alias("what"), none.alias("path"), "device", "inode", F.lit(False).alias("stays")),
+    ]
+    return detect.union_all(parts)
+
+
 @query("remove_by_path", f"""WITH {X.KNOWN}, left_ AS (SELECT * FROM paths WHERE path NOT LIKE '/data/src2/%')
 SELECT p.path, i.size, i.mtime_ns, i.inode, i.device, i.mode, i.uid, i.gid, i.digest, p.last_seen FROM left_ p JOIN inodes i USING (device, inode)""")
 def _(spark, d):
@@ -265,12 +302,13 @@ def _(spark, d):
 _AFTER = f"""WITH {X.KNOWN}, after AS (SELECT path, digest FROM files)"""
 
 
-@query("change_matches", f"{_AFTER} SELECT f.path, f.digest, f.size, a.path AS other_path FROM files f JOIN after a ON a.digest = f.digest AND a.path <> f.path WHERE f.path NOT IN (SELECT path FROM idx)")
+@query("change_matches", f"""{_AFTER} SELECT f.path, f.digest, f.size, min(a.path) AS other_path, count(*) AS others FROM files f JOIN after a ON a.digest = f.digest AND a.path <> f.path
+  WHERE f.path NOT IN (SELECT path FROM idx) GROUP BY ALL""")
 def _(spark, d):
     # files that the index does not know arrive; they are matched against the index after their upsert
     all_ = X.files(spark, d)
     changed = all_.join(X.known(spark, d).select("path"), "path", "left_anti")
-    return events.matches(changed, all_).select("path", "digest", "size", "other_path")
+    return events.matches(changed, all_)
 
 
 @query("change_pair", f"""{_AFTER}, met AS (
@@ -338,18 +376,42 @@ def _(spark, d):
 # sources, streams and side effects
 
 
-@query("scan_files")
+def local_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for real files: in the shared folder if that is a mounted one, else on the one machine that these small trees need."""
+    place = folder(spark, name)
+    if place.startswith(("file:", "/")):
+        place = "/" + place.removeprefix("file:").lstrip("/")
+        os.makedirs(place)
+        return place
+    return tempfile.mkdtemp(prefix="twinsift-")
+
+
+@query("scan_files", """WITH made AS (
+  SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'deep/er/' ELSE '' END || 'r' || n_regionkey || '/' AS place, CASE WHEN n_nationkey % 5 = 0 THEN '.' ELSE '' END || n_name AS name,
+         n_nationkey AS k, CAST(length(n_name) AS BIGINT) AS size FROM nation
+) SELECT place || name AS path, true AS is_regular, size FROM made UNION ALL SELECT place || name || ' too', true, size FROM made WHERE k % 6 = 1""")
 def _(spark, d):
     from ..sources import filesystem
 
-    # the driver's own data folder as a file tree; rows only, since SQL cannot list it
-    root = d.removeprefix("file://").removeprefix("file:")
-    return filesystem.scan(spark, [root]).select("path", "is_regular", "size", "error")
+    # each nation is a file in its region's folder, some nested, some hidden, some with a second name, some with a symbolic link that a scan must not list
+    top = f"{local_folder(spark, 'scan')}/data"
+    for r in X.table(spark, d, "nation").toLocalIterator():
+        k, name = r["n_nationkey"], r["n_name"]
+        place = f"{top}/{'deep/er/' if k % 3 == 0 else ''}r{r['n_regionkey']}"
+        os.makedirs(place, exist_ok=True)
+        file = f"{place}/{'.' if k % 5 == 0 else ''}{name}"
+        with open(file, "w") as f:
+            f.write(name)
+        if k % 6 == 1:
+            os.link(file, f"{file} too")
+        if k % 4 == 0:
+            os.symlink(file, f"{file} link")
+            os.symlink(top, f"{place}/back {k}")
+    return filesystem.scan(spark, [top]).select(F.substring("path", len(os.path.realpath(top)) + 2, 1 << 20).alias("path"), "is_regular", "size")
 
 
 @query("stream_fold_state", f"{_LIVE} SELECT path, event_id FROM last_ WHERE type = 'Modified'")
 def _(spark, d):
-    from ..sources.shared import folder
     from ..streaming.follow import fold_stream
 
     raw = spark.readStream.schema(X.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
@@ -361,14 +423,11 @@ def _(spark, d):
 @query("apply_files", """SELECT first_ AS canonical, n_name AS duplicate, 'Linked' AS status
 FROM (SELECT n_name, min(n_name) OVER (PARTITION BY n_regionkey) AS first_ FROM nation) WHERE n_name <> first_""")
 def _(spark, d):
-    import os
-    import tempfile
-
     from .session import Options, Session
 
-    # each nation is a file whose content is its region; links are made in a scratch folder of the driver
-    top = tempfile.mkdtemp(prefix="twinsift-apply-")
-    os.mkdir(f"{top}/data")
+    # each nation is a file whose content is its region
+    top = local_folder(spark, "apply")
+    os.makedirs(f"{top}/data")
     for r in X.table(spark, d, "nation").toLocalIterator():
         with open(f"{top}/data/{r['n_name']}", "w") as f:
             f.write(f"region {r['n_regionkey']}")

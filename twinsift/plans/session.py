@@ -7,13 +7,13 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas as S
+from ..functions import codecs
 from ..functions.hashing import Interrupted
 from ..operators import cache, detect, events, index, ops
 from ..sources import effector, filesystem
@@ -34,12 +34,27 @@ class Options:
     distinct_paths: bool = False
     #: Entries of one content can be a large share of all: see detect.elect.
     skewed: bool = False
-    #: Pairs that are checked and logged together before they are replaced.
-    batch: int = 64
+    #: Pairs that are checked and logged together before they are replaced: at most about so many are open after a crash.
+    batch: int = 10_000
     #: Parts in which files are read: each is in the index before the next begins, so a stopped scan starts from there.
     rounds: int = 1
 
 
+@dataclass
+class Observers:
+    """Callbacks of a scan, each called on the driver with one row as a dictionary, as rows come from the cluster.
+
+    `on_progress` gets counts (seen, hits, misses) after every `every` decisions and at the end. Without callbacks no
+    rows come to the driver.
+    """
+
+    on_decision: Callable[[dict], None] | None = None
+    on_pair: Callable[[dict], None] | None = None
+    on_result: Callable[[dict], None] | None = None
+    on_progress: Callable[[dict], None] | None = None
+    every: int = 1000
+
+
 @dataclass
 class Report:
     """What a scan found: decisions per path, entries, pairs, results and counters, as DataFrames."""
@@ -52,10 +67,43 @@ class Report:
 
 
 class Session:
-    def __init__(self, spark: SparkSession, folder: str, options: Options = Options(), clock: Callable[[], float] = time.time) -> None:
-        self.spark, self.options, self.clock = spark, options, clock
+    def __init__(self, spark: SparkSession, folder: str, options: Options = Options(), clock: Callable[[], float] = time.time, observers: Observers = Observers()) -> None:
+        self.spark, self.options, self.clock, self.observers = spark, options, clock, observers
         self.store = IndexStore(spark, folder, options.algorithm)
         self.should_abort: Callable[[], bool] = lambda: False
+        #: What the scan that runs, or ran last, has done: parts read and files stored in them, and all parts.
+        self.progress: dict[str, int] = {}
+        self._held: list[DataFrame] = []
+
+    def _hold(self, rows: DataFrame) -> DataFrame:
+        """Keeps rows in memory until the next scan or change."""
+        self._held.append(rows.persist())
+        return rows
+
+    def _let_go(self) -> None:
+        for rows in self._held:
+            rows.unpersist()
+        self._held = []
+
+    def _tell(self, rows: DataFrame, callback: Callable[[dict], None] | None) -> None:
+        if callback:
+            for r in rows.toLocalIterator():
+                callback(r.asDict())
+
+    def _tell_decisions(self, decisions: DataFrame) -> None:
+        o = self.observers
+        if not o.on_decision and not o.on_progress:
+            return
+        seen = {"seen": 0, "hits": 0, "misses": 0}
+        for r in decisions.select("path", "decision").toLocalIterator():
+            seen["seen"] += 1
+            seen["hits" if r["decision"] == S.HIT else "misses"] += 1
+            if o.on_decision:
+                o.on_decision(r.asDict())
+            if o.on_progress and seen["seen"] % o.every == 0:
+                o.on_progress(dict(seen))
+        if o.on_progress and seen["seen"] % o.every:
+            o.on_progress(dict(seen))
 
     def _ask(self) -> None:
         if self.should_abort():
@@ -82,72 +130,91 @@ class Session:
     # full scan
 
     def run_full_scan(self) -> Report:
-        """Scans the roots, reads what the index cannot answer for, commits, reports pairs and applies them unless dry.
+        """Scans the roots, reads what the index cannot answer for, reports pairs and applies them unless dry.
 
-        What was read is committed before pairs are made, so a scan that is stopped later starts from it. The
-        index forgets paths that this scan has not refreshed, but not after a stop, nor when parts of a tree could
-        not be read. The report's tables hold until the next scan or change.
+        What was read is merged into the index before pairs are made, so a scan that is stopped later starts from it;
+        the whole index is written once, at the end. It forgets paths that this scan has not refreshed, but not after a
+        stop, nor when parts of a tree could not be read. The report's tables hold until the next scan or change.
         """
         o, now = self.options, int(self.clock())
+        self._let_go()
         self.store.vacuum()
-        scanned = filesystem.scan(self.spark, list(o.roots), o.exclude).persist()
-        try:
-            faults = scanned.where("error IS NOT NULL").count()
-            files = detect.regular_files(scanned).drop("root", "is_regular", "error")
-            if o.distinct_paths:
-                files = files.dropDuplicates(["path"])
-            self._ask()
-            decisions = cache.decide(files, self.store.inodes)
-            for k in range(o.rounds if o.rounds > 1 else 0):
-                self._read_part(decisions, k, now)
-            _, entries = cache.index_entries(files, self.store.inodes, lambda lead: filesystem.digests(lead, o.algorithm), now)
-            entries = entries.persist()  # read once: the commit and the pairs share it
-            paths, inodes = index.upsert(self.store.paths, self.store.inodes, entries)
-            self.store.commit(paths=paths, inodes=inodes)
-            self._ask()
-            pairs = detect.in_order(detect.dupe_pairs(entries, o.dry_run, o.skewed)).persist()
-            results = detect.dry_run_results(pairs) if o.dry_run else self._apply(pairs)
-            self._ask()
-            if not faults:
-                kept = index.retain(self.store.paths, now - 1, list(o.roots) if o.scope == "roots" else None)
-                self.store.commit(paths=kept, inodes=index.prune(kept, self.store.inodes))
-            else:
-                log.warning("%d entries could not be read; nothing is forgotten", faults)
-            counted = cache.counters(decisions, pairs, results).first().asDict()
-        finally:
-            scanned.unpersist()
+        self.progress = {"parts": 0, "stored": 0, "of": max(1, o.rounds)}
+        scanned = self._hold(filesystem.scan(self.spark, list(o.roots), o.exclude))
+        faults = scanned.where("error IS NOT NULL").count()
+        files = detect.regular_files(scanned).drop("root", "is_regular", "error")
+        if o.distinct_paths:
+            files = files.dropDuplicates(["path"])
+        self._ask()
+        decisions = cache.decide(files, self.store.inodes)
+        self._tell_decisions(decisions)
+        for k in range(o.rounds if o.rounds > 1 else 0):
+            self._read_part(decisions, k, now)
+        _, entries = cache.index_entries(files, self.store.inodes, lambda lead: filesystem.digests(lead, o.algorithm), now)
+        entries = self._hold(entries)  # read once: the merge, the pairs and the commit share it
+        at_rest = index.entries(self.store.paths, self.store.inodes)
+        self._merge(entries.join(at_rest, ["path", "device", "inode", "size", "mtime_ns", "digest"], "left_anti"))
+        self._ask()
+        pairs = self._hold(detect.in_order(detect.dupe_pairs(entries, o.dry_run, o.skewed)))
+        self._tell(pairs, self.observers.on_pair)
+        results = detect.dry_run_results(pairs) if o.dry_run else self._apply(pairs)
+        self._tell(results, self.observers.on_result)
+        self._ask()
+        paths, inodes = index.upsert(self.store.paths, self.store.inodes, entries)
+        if not faults:
+            paths = index.retain(paths, now - 1, list(o.roots) if o.scope == "roots" else None)
+            inodes = index.prune(paths, inodes)
+        else:
+            log.warning("%d entries could not be read; nothing is forgotten", faults)
+        counted = cache.counters(decisions, pairs, results).first().asDict()
+        self.store.commit(paths=paths, inodes=inodes)
         return Report(decisions, entries, pairs, results, counted)
 
+    def _merge(self, found: DataFrame, gone: DataFrame | None = None) -> None:
+        """Puts entries into the index and takes paths out of it; what is written grows with them."""
+        none = self.spark.createDataFrame([], "path string")
+        new_paths, out, new_inodes, bare = index.changes(self.store.paths, self.store.inodes, found, none if gone is None else gone)
+        self.store.merge(paths=(new_paths, out), inodes=(new_inodes, bare))
+
     def _read_part(self, decisions: DataFrame, k: int, now: int) -> None:
-        """Reads one of `rounds` parts of the inodes that have no stored digest, and commits it."""
+        """Reads one of `rounds` parts of the inodes that have no stored digest, and merges it."""
         self._ask()
         part = decisions.where(F.col("digest").isNull() & (F.pmod(F.xxhash64("device", "inode"), F.lit(self.options.rounds)) == k))
         fresh = filesystem.digests(cache.leaders(part), self.options.algorithm).where("digest IS NOT NULL")
         entries = cache.fan_out(part.drop("digest", "decision"), fresh).withColumn("last_seen", F.lit(now).cast("long")).persist()
-        paths, inodes = index.upsert(self.store.paths, self.store.inodes, entries)
-        self.store.commit(paths=paths, inodes=inodes)
+        self._merge(entries)
+        self.progress |= {"parts": k + 1, "stored": self.progress["stored"] + entries.count()}
         entries.unpersist()
 
     def _apply(self, pairs: DataFrame) -> DataFrame:
-        """Replaces duplicates by links, in batches: all of a batch are checked, then logged as planned, then replaced."""
-        run, done = uuid.uuid4().hex[:8], []
-        op = (self.store.op_log.agg(F.max("id")).first()[0] or 0) + 1
-        rows = pairs.toLocalIterator()
-        while batch := [r.asDict() for r in islice(rows, self.options.batch)]:
+        """Replaces duplicates by links, in rounds: all of a round are checked, then logged as planned, then replaced.
+
+        Checks and replacements run in the tasks and their outcomes are tables beside the index, so nothing is
+        gathered on the driver.
+        """
+        run = uuid.uuid4().hex[:8]
+        folder = self.store.scratch(f"apply-{run}")
+        rounds = max(1, -(-pairs.count() // self.options.batch))
+        done: list[DataFrame] = []
+
+        def kept(rows: DataFrame, name: str) -> DataFrame:
+            rows.write.parquet(f"{folder}/{name}")
+            return self.spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+        for k in range(rounds):
             self._ask()
-            judged = [effector.verdict(p, self.options.algorithm, self.should_abort) for p in batch]
-            todo = [p for p in judged if "seen" in p]
-            planned = [
-                {"id": op + k, "seq": 0, "canonical": p["canonical_path"], "duplicate": p["duplicate_path"], "backup_path": f"{p['duplicate_path']}.dd_tmp.{run}.{op + k}", "status": S.OP_PLANNED, "message": "", "created_at": int(self.clock())}
-                for k, p in enumerate(todo)
-            ]
-            self._log(planned)
-            op += len(planned)
-            ended = [effector.replace(p, o["backup_path"]) for p, o in zip(todo, planned, strict=True)]
-            self._log([o | {"seq": 1, "status": state, "message": said} for o, (_, state, said) in zip(planned, ended, strict=True)])
-            results = iter(r for r, _, _ in ended)
-            done += [next(results) if "seen" in p else p for p in judged]
-        return self.spark.createDataFrame([tuple(r[c] for c in (*S.DUPE_PAIR, "status", "message")) for r in done], "canonical_path string, duplicate_path string, digest string, size_bytes long, status string, message string")
+            part = pairs.where(F.pmod(F.xxhash64("duplicate_path"), F.lit(rounds)) == k)
+            looked = effector.looked_at(part, self.options.algorithm)
+            checked = kept(ops.preflight(looked).withColumn("n", F.monotonically_increasing_id()), f"checked-{k}")
+            first = (self.store.op_log.agg(F.max("id")).first()[0] or 0) + 1
+            backup = codecs.backup_path(F.col("duplicate_path"), run, F.col("n") + first)
+            todo = checked.where("status IS NULL")
+            planned = ops.append_planned(todo, first, backup, int(self.clock()))
+            self.store.append("op_log", planned)
+            replaced = kept(effector.replaced(todo.withColumn("backup_path", backup)), f"replaced-{k}")
+            self.store.append("op_log", ops.ended(planned, replaced))
+            done += [ops.results(checked.where("status IS NOT NULL").withColumn("fault", F.lit(""))), ops.results(replaced)]
+        return detect.in_order(detect.union_all(done).drop("op_status"))
 
     # single changes
 
@@ -158,24 +225,21 @@ class Session:
         stored; deleted ones go. Each changed file is then paired with the first other path of its content.
         """
         now = int(self.clock())
+        self._let_go()
         self.store.vacuum()
         paths, inodes = self.store.paths, self.store.inodes
-        known = cache.resolve_digest(filesystem.metas(changes.where(F.col("type") == S.MODIFIED)), index.entries(paths, inodes)).persist()
+        modified = filesystem.metas(changes.where(F.col("type") == S.MODIFIED))
+        before = paths.join(changes.select("path").distinct(), "path", "left_semi")  # only what the changed paths hold is looked up
+        known = self._hold(cache.resolve_digest(modified, index.entries(before, inodes)))
         kept = known.where("digest IS NOT NULL").select("path", *S.META, "digest")
         new = known.where("digest IS NULL").select("path", *S.META)
         fresh = filesystem.digests(cache.leaders(new), self.options.algorithm).where("digest IS NOT NULL")
-        entries = kept.unionByName(cache.fan_out(new, fresh).select("path", *S.META, "digest")).withColumn("last_seen", F.lit(now).cast("long")).persist()
-        try:
-            paths, inodes = index.remove(paths, inodes, changes.where(F.col("type") == S.DELETED).select("path"))
-            paths, inodes = index.upsert(paths, inodes, entries)
-            self.store.commit(paths=paths, inodes=inodes)
-            at_rest = index.entries(self.store.paths, self.store.inodes)
-            pairs = events.pairs_of_changes(entries, at_rest).distinct().persist()  # two changed files may name each other
-            self._ask()
-            results = detect.dry_run_results(pairs) if self.options.dry_run else self._apply(pairs.orderBy("duplicate_path"))
-            return results
-        finally:
-            known.unpersist()
+        entries = self._hold(kept.unionByName(cache.fan_out(new, fresh).select("path", *S.META, "digest")).withColumn("last_seen", F.lit(now).cast("long")))
+        self._merge(entries, changes.where(F.col("type") == S.DELETED).select("path"))
+        alike = self.store.inodes.join(entries.select("digest").distinct(), "digest", "left_semi")
+        pairs = self._hold(events.pairs_of_changes(entries, index.entries(self.store.paths, alike)).distinct())  # two changed files may name each other
+        self._ask()
+        return detect.dry_run_results(pairs) if self.options.dry_run else self._apply(pairs)
 
     def handle_change(self, path: str) -> dict | None:
         """The result for one changed file; None if it is no regular file or has no equal."""

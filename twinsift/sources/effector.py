@@ -1,35 +1,68 @@
-"""The side effects: replacing duplicates by hard links, and undoing what a crash left.
+"""The side effects: looking at pairs of files, replacing duplicates by hard links, and undoing what a crash left.
 
-They touch local files and so run on the driver, with each operation logged before anything moves; recovery can
-be run again at any time.
+Looking and replacing run in the tasks, where the files are read too; each operation is logged before anything
+moves, a replacement that is run again finds its own link, and recovery can be run again at any time.
 """
 
 from __future__ import annotations
 
 import errno
 import os
-from collections.abc import Callable
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.hashing import hash_file
 from .filesystem import meta
 
+#: What is seen of a file when it is checked; the same must hold when it is replaced.
+SEEN = ("size", "mtime_ns", "inode", "device")
+SIDES = ("canonical", "duplicate")
+LOOK = ", ".join(f"{x}_symlink boolean, {x}_now string, {', '.join(f'{x}_{c} long' for c in SEEN)}" for x in SIDES) + ", error string"
+
+
+def look(pair: dict, algorithm: str) -> dict:
+    """The columns of LOOK for one pair: what operators.ops.preflight judges. Contents are read only if nothing else stops the pair."""
+    out: dict = dict.fromkeys((n.split()[0] for n in LOOK.split(", ")))
+    try:
+        for x in SIDES:
+            out[f"{x}_symlink"] = os.path.islink(pair[f"{x}_path"])
+        if out["canonical_symlink"] or out["duplicate_symlink"]:
+            return out
+        for x in SIDES:
+            m = meta(pair[f"{x}_path"])
+            out |= {f"{x}_{c}": m[c] for c in SEEN}
+        if out["canonical_device"] == out["duplicate_device"] and out["canonical_inode"] != out["duplicate_inode"]:
+            for x in SIDES:
+                out[f"{x}_now"] = hash_file(pair[f"{x}_path"], algorithm)
+                if out[f"{x}_now"] != pair["digest"]:
+                    break
+    except OSError as e:
+        out["error"] = str(e)
+    return out
+
+
+def _each(rows: DataFrame, f, schema: str) -> DataFrame:
+    """The rows with what `f` says of each (a dict), in columns of `schema`."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    whole = StructType([*rows.schema.fields, *StructType.fromDDL(schema).fields])
+    kinds = to_arrow_schema(whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([r | f(r) for r in batch.to_pylist()], schema=kinds)
+
+    return rows.mapInArrow(run, whole)
 
-def check(pair: dict, algorithm: str, should_abort: Callable[[], bool] | None = None) -> tuple[str, str] | None:
-    """(status, message) of the first check that stops a pair; None to go ahead."""
-    one, two = pair["canonical_path"], pair["duplicate_path"]
-    if os.path.islink(one) or os.path.islink(two):
-        return S.SKIPPED, S.SAYS_SYMLINK
-    a, b = meta(one), meta(two)
-    if a["device"] != b["device"]:
-        return S.SKIPPED, S.SAYS_CROSS_DEVICE
-    if a["inode"] == b["inode"]:
-        return S.ALREADY_LINKED, ""
-    if hash_file(one, algorithm, should_abort) != pair["digest"]:
-        return S.SKIPPED, S.SAYS_CANONICAL_CHANGED
-    if hash_file(two, algorithm, should_abort) != pair["digest"]:
-        return S.SKIPPED, S.SAYS_DUPLICATE_CHANGED
-    return None
+
+def looked_at(pairs: DataFrame, algorithm: str) -> DataFrame:
+    """The pairs with what is true of their files now, seen by the tasks; large files spread by their paths."""
+    return _each(pairs.repartition(F.col("duplicate_path")), lambda p: look(p, algorithm), LOOK)
 
 
 def swap(canonical: str, duplicate: str, backup: str) -> None:
@@ -43,38 +76,31 @@ def swap(canonical: str, duplicate: str, backup: str) -> None:
     os.remove(backup)
 
 
-def verdict(pair: dict, algorithm: str, should_abort: Callable[[], bool] | None = None) -> dict:
-    """The pair with the result that a check gives it, or with what was seen of its files if it may go ahead."""
-    try:
-        if stopped := check(pair, algorithm, should_abort):
-            return pair | {"status": stopped[0], "message": stopped[1]}
-        return pair | {"seen": _seen(pair)}
-    except OSError as e:
-        return pair | {"status": S.FAILED, "message": str(e)}
-
-
-def _seen(pair: dict) -> list[tuple]:
-    held = [meta(pair[k]) for k in ("canonical_path", "duplicate_path")]
-    return [tuple(m[c] for c in ("size", "mtime_ns", "inode", "device")) for m in held]
+def replace(op: dict) -> str:
+    """What a checked pair's replacement runs into: '' nothing, CHANGED_… if a file is not what was checked, EACCES, EPERM, or a text.
 
-
-def replace(pair: dict, backup: str) -> tuple[dict, str, str]:
-    """(result, state of the operation, its message) for a pair whose operation is logged as planned.
-
-    Files that changed since they were checked are left alone.
+    `op` has the columns of LOOK and backup_path. Where the link is there already, an earlier try of this task made it.
     """
-    bare = {k: v for k, v in pair.items() if k != "seen"}
     try:
-        one, two = _seen(pair)
-        if one != pair["seen"][0] or two != pair["seen"][1]:
-            said = S.SAYS_CANONICAL_CHANGED if one != pair["seen"][0] else S.SAYS_DUPLICATE_CHANGED
-            return bare | {"status": S.SKIPPED, "message": said}, S.OP_FAILED, said
-        swap(pair["canonical_path"], pair["duplicate_path"], backup)
-        return bare | {"status": S.LINKED, "message": ""}, S.OP_DONE, ""
+        held = {x: meta(op[f"{x}_path"]) for x in SIDES}
+        same = {x: all(held[x][c] == op[f"{x}_{c}"] for c in SEEN) for x in SIDES}
+        if (held["canonical"]["device"], held["canonical"]["inode"]) == (held["duplicate"]["device"], held["duplicate"]["inode"]):
+            if os.path.lexists(op["backup_path"]):
+                os.remove(op["backup_path"])
+            return ""
+        if not same["canonical"]:
+            return S.SAYS_CANONICAL_CHANGED
+        if not same["duplicate"]:
+            return S.SAYS_DUPLICATE_CHANGED
+        swap(op["canonical_path"], op["duplicate_path"], op["backup_path"])
     except OSError as e:
-        if e.errno in (errno.EACCES, errno.EPERM):
-            return bare | {"status": S.SKIPPED, "message": S.SAYS_NOT_WRITABLE}, S.OP_FAILED, S.SAYS_NOT_WRITABLE
-        return bare | {"status": S.FAILED, "message": str(e)}, S.OP_FAILED, str(e)
+        return errno.errorcode[e.errno] if e.errno in (errno.EACCES, errno.EPERM) else str(e) or type(e).__name__
+    return ""
+
+
+def replaced(ops: DataFrame) -> DataFrame:
+    """The checked pairs with `fault`, what their replacement ran into; done by the tasks."""
+    return _each(ops, lambda op: {"fault": replace(op)}, "fault string")
 
 
 def facts(op: dict) -> dict:

@@ -3,8 +3,8 @@
 Options: `roots` (joined by newlines), `exclude` (glob patterns of file names, joined by newlines, none by
 default), `partitions` (target number). Rows follow schemas.SCANNED_FILE. Symbolic links are never followed nor
 listed, hidden names are listed, and an unreadable directory below a root is skipped with a row that carries the
-error; an unreadable root fails the scan. Directories at the top are listed by the driver until there are enough
-of them to share out; all else is listed in the tasks, and one task's tree never holds up another's.
+error; an unreadable root fails the scan. The driver looks for directories at the top until there are enough of
+them to share out, and keeps no file; files are listed in the tasks, those of a large flat directory in several.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import fnmatch
 import os
 import stat
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,10 @@ def is_plain(path: str) -> bool:
 @dataclass
 class Subtree(InputPartition):
     root: str
-    tops: tuple[str, ...]  # directories to walk, or files
+    top: str  # a directory
+    deep: bool  # with all below it, or its own files only
+    part: int = 0  # of a large directory's own files, those whose names hash to this part
+    of: int = 1
 
 
 def _row(root: str, path: str, error: str | None = None) -> tuple:
@@ -53,55 +57,74 @@ def _row(root: str, path: str, error: str | None = None) -> tuple:
 
 
 def walk(root: str, top: str, exclude: tuple[str, ...] = ()) -> Iterator[tuple]:
-    """Rows of everything below `top` but symbolic links. A directory's error is a row; its siblings go on."""
+    """Rows of everything below `top` but symbolic links, however deep. A directory's error is a row; its siblings go on."""
+    waiting = [top]
+    while waiting:
+        here = waiting.pop()
+        try:
+            with os.scandir(here) as it:
+                found = sorted(it, key=lambda e: e.name)
+        except OSError as e:
+            yield _row(root, here, e.strerror)
+            continue
+        below = []
+        for e in found:
+            if e.is_symlink() or any(fnmatch.fnmatch(e.name, x) for x in exclude):
+                continue
+            if e.is_dir(follow_symlinks=False):
+                below.append(e.path)
+            else:
+                yield _row(root, e.path)
+        waiting += reversed(below)
+
+
+def own_files(p: Subtree, exclude: tuple[str, ...]) -> Iterator[tuple]:
+    """Rows of one part of a directory's own files."""
     try:
-        with os.scandir(top) as it:
-            found = sorted(it, key=lambda e: e.name)
+        with os.scandir(p.top) as it:
+            for e in it:
+                if zlib.crc32(os.fsencode(e.name)) % p.of == p.part and not e.is_symlink() and not e.is_dir(follow_symlinks=False) and not any(fnmatch.fnmatch(e.name, x) for x in exclude):
+                    yield _row(p.root, e.path)
     except OSError as e:
-        yield _row(root, top, e.strerror)
-        return
-    for e in found:
-        if e.is_symlink() or any(fnmatch.fnmatch(e.name, x) for x in exclude):
-            continue
-        if e.is_dir(follow_symlinks=False):
-            yield from walk(root, e.path, exclude)
-        else:
-            yield _row(root, e.path)
+        if p.part == 0:
+            yield _row(p.root, p.top, e.strerror)
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, roots: list[str], exclude: tuple[str, ...], target: int) -> None:
-        self.roots, self.exclude, self.target = roots, exclude, target
+    def __init__(self, roots: list[str], exclude: tuple[str, ...], target: int, share: int = 10_000) -> None:
+        self.roots, self.exclude, self.target, self.share = roots, exclude, target, share
 
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
         for root in self.roots:
             whole = os.path.realpath(root)
-            level, files = [whole], []
+            level = [whole]
             with os.scandir(whole):
                 pass  # an unreadable root fails here
-            while level and len(level) < self.target:
+            while level and len(level) < self.target:  # names are looked at one by one, only directories are kept
                 below: list[str] = []
                 for d in level:
+                    files = 0
                     try:
-                        entries = sorted(os.scandir(d), key=lambda e: e.name)
+                        with os.scandir(d) as it:
+                            for e in it:
+                                if e.is_symlink() or any(fnmatch.fnmatch(e.name, x) for x in self.exclude):
+                                    continue
+                                if e.is_dir(follow_symlinks=False):
+                                    below.append(e.path)
+                                else:
+                                    files += 1
                     except OSError:
-                        files.append(d)  # the task reports the error
-                        continue
-                    for e in entries:
-                        if not e.is_symlink() and not any(fnmatch.fnmatch(e.name, x) for x in self.exclude):
-                            (below if e.is_dir(follow_symlinks=False) else files).append(e.path)
-                level = below
-            parts += [Subtree(whole, (d,)) for d in level]
-            parts += [Subtree(whole, tuple(files[i : i + 1000])) for i in range(0, len(files), 1000)]
-        return parts or [Subtree("", ())]
+                        files = 1  # the task reports the error
+                    of = -(-files // self.share)
+                    parts += [Subtree(whole, d, False, k, of) for k in range(of)]
+                level = sorted(below)
+            parts += [Subtree(whole, d, True) for d in level]
+        return parts or [Subtree("", "", False, 0, 1)]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
-        for top in partition.tops:
-            if os.path.isdir(top) and not os.path.islink(top):
-                yield from walk(partition.root, top, self.exclude)
-            else:
-                yield _row(partition.root, top)
+        if partition.top:
+            yield from walk(partition.root, partition.top, self.exclude) if partition.deep else own_files(partition, self.exclude)
 
 
 class FileTree(DataSource):

@@ -1,8 +1,9 @@
 """The index at rest: Parquet tables and a pointer to the current ones.
 
 A commit writes new table folders and then replaces the pointer in one rename, so a reader sees either the old
-or the new index and a crash leaves at most an unused folder. Paths go through Hadoop's file system, so the
-index may live anywhere that Spark writes.
+or the new index and a crash leaves at most an unused folder. A merge writes only what changes: a folder of new rows
+and of keys that go; readers put it over the rows before, and after MERGE of them the table is written as one again.
+Paths go through Hadoop's file system, so the index may live anywhere that Spark writes.
 """
 
 from __future__ import annotations
@@ -11,13 +12,19 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from ..operators.index import last_of
 from ..schemas import INODES, OP_EVENTS, PATHS
 
 VERSION = 1
 #: Additions to a table before they are merged.
 MERGE = 64
 TABLES = {"paths": PATHS, "inodes": INODES, "op_log": OP_EVENTS}
+KEYS = {"paths": ("path",), "inodes": ("device", "inode")}
+#: Marks the folder of a merge: rows of the table, and in _gone whether the key only goes.
+DELTA, DELTAS = "delta", StructType([StructField("_gone", BooleanType()), StructField("_n", LongType())])
 
 
 class IndexStore:
@@ -51,7 +58,34 @@ class IndexStore:
         folders = self._pointer()["tables"].get(name)
         if not folders:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.folder}/{f}" for f in folders))
+        return self._over(name, folders)
+
+    def _over(self, name: str, folders: list[str]) -> DataFrame:
+        """The table's rows: whole folders, and over them its merges, the last one of a key first."""
+        whole = [f"{self.folder}/{f}" for f in folders if DELTA not in f]
+        merges = [f"{self.folder}/{f}" for f in folders if DELTA in f]
+        rows = self.spark.read.schema(TABLES[name]).parquet(*whole) if whole else self.spark.createDataFrame([], TABLES[name])
+        if not merges:
+            return rows
+        schema = StructType([*TABLES[name].fields, *DELTAS.fields])
+        last = last_of(self.spark.read.schema(schema).parquet(*merges), KEYS[name], ("_n",))
+        bare = rows.join(last.select(*KEYS[name]), list(KEYS[name]), "left_anti").select(*TABLES[name].names)
+        return bare.unionByName(last.where("NOT _gone").select(*TABLES[name].names))
+
+    def merge(self, **tables: tuple[DataFrame, DataFrame]) -> None:
+        """Puts (new rows, keys that go) over tables, all at once; what is written grows with them and not with the table."""
+        said, fresh = self._pointer()["tables"], {}
+        for name, (rows, gone) in tables.items():
+            folders = said.get(name, [])
+            n = sum(DELTA in f for f in folders)
+            folder = f"{name}-{DELTA}-{uuid.uuid4().hex}"
+            none = [F.lit(None).cast(x.dataType).alias(x.name) for x in TABLES[name].fields if x.name not in KEYS[name]]
+            went = gone.select(*KEYS[name], *none, F.lit(True).alias("_gone"))
+            both = rows.select(*TABLES[name].names, F.lit(False).alias("_gone")).unionByName(went).withColumn("_n", F.lit(n).cast("long"))
+            both.write.parquet(f"{self.folder}/{folder}")
+            folders = [*folders, folder]
+            fresh[name] = folders if n < MERGE else [self._write(name, self._over(name, folders))]
+        self._publish(fresh)
 
     def commit(self, **tables: DataFrame) -> None:
         """Replaces the tables given, all at once; the others stay as they are. vacuum() deletes what was replaced."""
@@ -64,6 +98,12 @@ class IndexStore:
             folders = [self._write(name, self.spark.read.schema(TABLES[name]).parquet(*(f"{self.folder}/{f}" for f in folders)))]
         self._publish({name: folders})
 
+    def scratch(self, name: str) -> str:
+        """A folder beside the tables that the next vacuum() deletes."""
+        said = self._pointer()
+        self._point(said | {"unused": [*said["unused"], name]})
+        return f"{self.folder}/{name}"
+
     def _write(self, name: str, rows: DataFrame) -> str:
         folder = f"{name}-{uuid.uuid4().hex}"
         order = {"inodes": "digest", "paths": "path"}.get(name)  # lookups prune row groups by these
