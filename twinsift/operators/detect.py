@@ -54,6 +54,11 @@ def elect(entries: DataFrame, skewed: bool = False) -> DataFrame:
     return held.select(*entries.columns, F.col("canonical.path").alias("canonical_path"), F.col("canonical.device").alias("canonical_device"), F.col("canonical.inode").alias("canonical_inode"), "n")
 
 
+def largest_group(entries: DataFrame) -> int:
+    """How many entries the content has that most entries share; partial counts meet before the exchange."""
+    return entries.groupBy(*GROUP).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def canonical_files(entries: DataFrame) -> DataFrame:
     """The canonical entry of each group of two or more: path, size, digest, n."""
     return dupe_groups(entries).select(F.col("canonical_path").alias("path"), *GROUP, "n")
@@ -64,9 +69,15 @@ def dupe_pairs(entries: DataFrame, dry_run: bool = False, skewed: bool = False)
 
     A dry run leaves out what is a hard link to the canonical already; an applied one reports it later.
     """
-    pairs = elect(entries, skewed).where("path <> canonical_path")
     if dry_run:
-        pairs = pairs.where("NOT (device = canonical_device AND inode = canonical_inode)")
+        pairs = elect(entries, skewed).where("path <> canonical_path AND NOT (device = canonical_device AND inode = canonical_inode)")
+    else:  # paths alone: no other column takes part in the exchange
+        slim = entries.select("path", *GROUP)
+        if skewed:
+            held = slim.join(slim.groupBy(*GROUP).agg(F.min("path").alias("canonical_path"), F.count("*").alias("n")).where("n > 1"), list(GROUP))
+        else:
+            held = slim.withColumn("canonical_path", F.min("path").over(Window.partitionBy(*GROUP)))
+        pairs = held.where("path <> canonical_path")
     return pairs.select("canonical_path", F.col("path").alias("duplicate_path"), "digest", F.col("size").alias("size_bytes"))
 
 

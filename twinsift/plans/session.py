@@ -32,8 +32,9 @@ class Options:
     scope: str = "all"
     #: A path below two roots counts once.
     distinct_paths: bool = False
-    #: Entries of one content can be a large share of all: see detect.elect.
-    skewed: bool = False
+    #: Whether groups are elected without a window (see detect.elect); None: where a content has more than `hot` entries.
+    skewed: bool | None = None
+    hot: int = 1_000_000
     #: Pairs that are checked and logged together before they are replaced: at most about so many are open after a crash.
     batch: int = 10_000
     #: Parts in which files are read: each is in the index before the next begins, so a stopped scan starts from there.
@@ -155,7 +156,8 @@ class Session:
         at_rest = index.entries(self.store.paths, self.store.inodes)
         self._merge(entries.join(at_rest, ["path", "device", "inode", "size", "mtime_ns", "digest"], "left_anti"))
         self._ask()
-        pairs = self._hold(detect.in_order(detect.dupe_pairs(entries, o.dry_run, o.skewed)))
+        skewed = detect.largest_group(entries) > o.hot if o.skewed is None else o.skewed
+        pairs = self._hold(detect.in_order(detect.dupe_pairs(entries, o.dry_run, skewed)))
         self._tell(pairs, self.observers.on_pair)
         results = detect.dry_run_results(pairs) if o.dry_run else self._apply(pairs)
         self._tell(results, self.observers.on_result)
