@@ -22,7 +22,7 @@ def test_golden_counts(spark, small, name):
 def test_the_flagship_reads_only_the_columns_it_needs_and_shuffles_once(spark, small):
     plan = QUERIES["dupe_pairs"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "n_chars" not in plan
-    assert plan.count("Exchange hashpartitioning(digest") == plan.count("Exchange ") == 1
+    assert plan.count("Exchange hashpartitioning(size") == plan.count("Exchange ") == 1
 
 
 def test_every_query_but_the_listed_ones_has_sql():
