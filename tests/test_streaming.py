@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import os
+
+import pytest
+
 from twinsift.operators import events
 from twinsift.plans.session import Options, Session
 from twinsift.streaming import follow, source
@@ -45,26 +49,55 @@ def test_one_bad_event_does_not_stop_the_others(spark, tmp_path):
 
 
 def test_differences():
-    assert source.differences({"a": [1], "b": [1]}, {"b": [2], "c": [1]}) == [("a", "Deleted"), ("b", "Modified"), ("c", "Modified")]
+    assert source.differences({"a": [1], "b": [1]}, {"b": [2], "c": [1]}) == [("a", "DELETE", False, False), ("b", "CLOSE_WRITE", False, True), ("c", "CLOSE_WRITE", False, True)]
 
 
-def test_changes_are_journalled_and_replayed(tmp_path):
+@pytest.mark.parametrize("poll", [False, True])
+def test_changes_are_journalled_and_replayed(tmp_path, poll):
     data = tmp_path / "data"
     data.mkdir()
     (data / "a").write_text("x")
-    reader = source.ChangeReader([str(data)], str(tmp_path / "journal"))
+    reader = source.ChangeReader([str(data)], str(tmp_path / "journal"), poll)
     start = reader.initialOffset()
     got, one = reader.read(start)
-    assert [r[1:] for r in got] == [(str(data / "a"), "Modified")]
+    assert [r[1:3] for r in got] == [(str(data / "a"), "CLOSE_WRITE")]
     (data / "new").mkdir()
     (data / "new" / "inside").write_text("y")
     (data / "a").unlink()
     got, two = reader.read(one)
-    assert [r[2] for r in got] == ["Deleted", "Modified"]
-    assert len(list(reader.readBetweenOffsets(start, two))) == 3
+    seen = {(os.path.basename(r[1]), r[2]) for r in got}
+    assert {("inside", "CLOSE_WRITE"), ("a", "DELETE")} <= seen
+    assert len(list(reader.readBetweenOffsets(start, two))) >= 3
     assert reader.read(two)[1] == two
-    again = source.ChangeReader([str(data)], str(tmp_path / "journal"))
-    assert [r[2] for r in again.read(one)[0]] == ["Deleted", "Modified"]
+    again = source.ChangeReader([str(data)], str(tmp_path / "journal"), poll)
+    assert {(os.path.basename(r[1]), r[2]) for r in again.read(one)[0]} == seen
+    if not poll:
+        os.rename(data / "new", tmp_path / "away")  # a directory that leaves takes its files along
+        got, three = reader.read(two)
+        assert ("inside", "MOVED_FROM") in {(os.path.basename(r[1]), r[2]) for r in got}
+        os.rename(tmp_path / "away", data / "back")
+        got, four = reader.read(three)
+        assert (str(data / "back" / "inside"), "CLOSE_WRITE") in {r[1:3] for r in got}
+        (data / "back" / "inside").write_text("longer")
+        assert (str(data / "back" / "inside"), "CLOSE_WRITE") in {r[1:3] for r in reader.read(four)[0]}
+
+
+def test_dropped_events_lead_to_a_new_listing(tmp_path, monkeypatch):
+    from twinsift.streaming import kernel
+
+    data = tmp_path / "data"
+    data.mkdir()
+    (data / "a").write_text("x")
+    reader = source.ChangeReader([str(data)], str(tmp_path / "journal"))
+    _, one = reader.read({"k": 0})
+    (data / "b").write_text("y")
+
+    def dropped(self):
+        raise kernel.Overflow
+
+    monkeypatch.setattr(kernel.Watches, "read", dropped)
+    got, _ = reader.read(one)
+    assert (str(data / "b"), "CLOSE_WRITE") in {r[1:3] for r in got}
 
 
 def test_the_index_follows_a_stream(spark, tmp_path):

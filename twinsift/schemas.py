@@ -19,6 +19,7 @@ OP_EVENTS = T.StructType([
     T.StructField("backup_path", T.StringType()), T.StructField("status", T.StringType()), T.StructField("message", T.StringType()), T.StructField("created_at", _LONG),
 ])
 WATCH_EVENT = T.StructType([T.StructField("seq", _LONG), T.StructField("path", T.StringType()), T.StructField("type", T.StringType())])
+RAW_EVENT = T.StructType([T.StructField("seq", _LONG), T.StructField("path", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("is_dir", T.BooleanType()), T.StructField("is_regular", T.BooleanType())])
 DUPE_PAIR = ("canonical_path", "duplicate_path", "digest", "size_bytes")
 
 # Statuses and messages of results.
