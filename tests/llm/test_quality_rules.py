@@ -42,7 +42,7 @@ def test_each_rule_rejects_its_kind(spark):
     kinds = {
         "word length": " ".join("x" * 40 + str(i) for i in range(60)), "symbols": " ".join(f"{w}%%" for w in filler), "repeated lines": "\n".join(filler[:20] + ["same line of words"] * 12),
         "letters": " ".join(str(i * 991) for i in range(80)), "capitals": " ".join(filler).upper().translate({ord(c): None for c in "0123456789"}) + " " + " ".join(f"ABC{chr(65 + i % 26)}{chr(65 + i // 26)}" for i in range(60)),
-        "shouting": " ".join(f"{w}!!" for w in filler), "bullets": "\n".join(f"- {w}" for w in filler), "ellipses": "\n".join(f"{w}..." for w in filler),
+        "shouting": " ".join(f"{w}!!" for w in filler), "bullets": "\n".join(f"- {w}" for w in filler), "ellipses": "\n".join(f"{w}..." for w in filler), "distinct words": "one two three four " * 60,
     }
     frame = R.counts(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(kinds.values())], DOCS))
     said = frame.select(*(r.rejects().alias(r.name.replace(" ", "_")) for r in R.RULES)).collect()
@@ -55,6 +55,9 @@ def test_rules_go_by_rejection_per_cost(spark, docs):
     assert {r.name for r, _, _ in found} == {r.name for r in R.RULES}
     worth = [share / cost for _, cost, share in found]
     assert worth == sorted(worth, reverse=True)
+    again = R.ordered(docs.repartition(1), size=10**6)
+    assert again == R.ordered(docs.repartition(1), size=10**6)  # counted, not timed
+    assert [s for _, _, s in R.ordered(docs.limit(0))] == [0.0] * len(R.RULES)
 
 
 def test_good_documents_are_kept(docs, labels):
