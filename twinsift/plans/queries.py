@@ -168,6 +168,17 @@ def _(spark, d):
     return cache.fan_out(all_.drop("digest"), cache.leaders(all_)).select("path", "device", "inode", "digest")
 
 
+@query("cached_and_hashed", f"""{_DECIDED} SELECT f.path, f.device, f.inode, f.size, CASE WHEN m.holds THEN m.stored ELSE f.digest END AS digest, CAST({X.NOW} AS BIGINT) AS last_seen
+FROM files f JOIN met m ON m.path = f.path""")
+def _(spark, d):
+    # what the index cannot answer for is hashed again, one path of each inode; both parts together are the scan's entries
+    all_ = X.files(spark, d)
+    _, inodes = X.stored(spark, d)
+    contents = all_.select("path", F.col("digest").alias("digest"))
+    _, entries = cache.index_entries(all_.drop("digest"), inodes, lambda lead: lead.select("path", "device", "inode").join(contents, "path").drop("path"), X.NOW)
+    return entries.select("path", "device", "inode", "size", "digest", "last_seen")
+
+
 @query("scan_counters", f"""{_DECIDED}, elected AS (
   SELECT *, min(path) OVER (PARTITION BY size, digest) AS canonical_path FROM files
 ), dry AS (
