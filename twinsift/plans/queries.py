@@ -426,8 +426,7 @@ def _(spark, d):
     from ..streaming.follow import fold_stream
 
     raw = spark.readStream.schema(X.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    place = folder(spark, "fold")
-    state = fold_stream(X.as_fs_events(raw).select("path", "type", "ts", "event_id"), f"{place}/state", ("ts", "event_id"), f"{place}/checkpoint")
+    state = fold_stream(X.as_fs_events(raw).select("path", "type", "ts", "event_id"), ("ts", "event_id"), folder(spark, "fold"))
     return state().where("type = 'Modified'").select("path", "event_id")
 
 

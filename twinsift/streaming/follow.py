@@ -48,38 +48,26 @@ def follow(session: Session, changes: DataFrame, checkpoint: str, on_results: Ca
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def fold_stream(stream: DataFrame, folder: str, order: tuple[str, ...], checkpoint: str) -> Callable[[], DataFrame]:
+def fold_stream(stream: DataFrame, order: tuple[str, ...], checkpoint: str) -> Callable[[], DataFrame]:
     """Folds an event stream (path, type, order columns) into the last event of each path; the result reads the state.
 
-    The state is a Parquet table per batch: batch n merges the whole table before it with its own rows, which come in
-    with one exchange on path. A table counts once it is whole (Spark's _SUCCESS mark is in it), so after a restart the
-    state is there at once; a batch that runs again overwrites its own table, so each event counts once. Tables older
-    than the one before are deleted.
+    A streaming aggregation: a maximum for each path, combined before the exchange and kept in Spark's state store, which
+    writes what changes and recovers by itself. After a restart the state is there at once, and each event counts once.
+    The state is read as a table, for which no batch has to run. (The session chooses the store; with
+    spark.sql.streaming.stateStore.providerClass set to RocksDB's it need not fit in memory.)
     """
-    spark = stream.sparkSession
-    schema = stream.schema
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def whole() -> list[int]:
-        """Numbers of the batches whose tables are whole."""
-        if not fs.exists(path(folder)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(folder))]
-        return sorted(int(n) for n in names if n.isdigit() and fs.exists(path(f"{folder}/{n}/_SUCCESS")))
-
-    def read(n: int) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{folder}/{n}") if n >= 0 else spark.createDataFrame([], schema)
-
-    def batch(rows: DataFrame, n: int) -> None:
-        before = [k for k in whole() if k < n]
-        merged = read(max(before, default=-1)).unionByName(events.fold(rows, *order))
-        events.fold(merged, *order).write.mode("overwrite").parquet(f"{folder}/{n}")
-        for k in before[:-1]:
-            fs.delete(path(f"{folder}/{k}"), True)
-
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return lambda: read(max(whole(), default=-1))
+    spark, names = stream.sparkSession, stream.columns
+    query = events.fold(stream, *order).writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
+
+    def read() -> DataFrame:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/state/0")
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            return spark.createDataFrame([], stream.schema)
+        best = spark.read.format("statestore").load(checkpoint).select("value.*").toDF("best")
+        return best.select("best.*").select("*", "_rest.*").select(*names)
+
+    return read
 
 
 def unwritable(results: DataFrame) -> DataFrame:
