@@ -64,6 +64,12 @@ def test_kept_rows_equal_brute_force(spark, rows):
     assert sorted(repr(r["doc_id"]) for r in got.collect()) == brute_kept(rows)
 
 
+def test_large_clusters_in_parts(spark, rows, monkeypatch):
+    frame = spark.createDataFrame([(k, r[1], "en", "s0", 1) for k, r in enumerate(rows)], DOCS)
+    whole = {(r["key"], r["root"]) for r in N.groups(frame).collect()}
+    assert {(r["key"], r["root"]) for r in N.groups(frame, part=5).collect()} == whole
+
+
 def test_links_that_are_certain_are_found_and_unlike_texts_are_not_linked(spark, rows):
     sets = {k: brute_set(r[1]) for k, r in enumerate(rows)}
     ids = [(k, r[1], "en", "s0", 1) for k, r in enumerate(rows)]

@@ -6,7 +6,8 @@ touches fewer of them, and with 128 bits unlike texts never come near each other
 masks of `agree` of `blocks` equal runs of the first or of the last 64 bits; a leaf's tree finds the fingerprints within `limit`
 bits, and leaves with more fingerprints than a task should hold are searched in pairs of parts. Components of these
 candidates are clusters; in each cluster all texts are compared with its least one first, then only pairs that the
-verified links leave apart, on whole sets. Texts with equal sets are one from the start.
+verified links leave apart, on whole sets; a large cluster is cut into parts of which each two meet in a task. Texts
+with equal sets are one from the start.
 
 A link is found if in one of the two words at least `agree` runs are equal, and no more than `limit` bits differ in
 all. Up to 2 * (blocks - agree) + 1 differing bits that is certain, beyond it likely; the README has the measured recall.
@@ -31,6 +32,8 @@ from .simhash import LEAF, components, forest_links, keep_least, mask_of, signed
 WIDTH, PRINTED, SIMILARITY = 5, 3, 0.8
 #: Runs of each word, how many of them a node's mask fixes, most differing bits of 128; keys up to which texts are fetched by a broadcast.
 BLOCKS, AGREE, LIMIT, BROADCAST = 8, 2, 26, 100_000
+#: Texts of a cluster whose sets a task holds at a time, twice.
+PART = 4_000
 SEED = 42
 #: The finalizer of the SplitMix64 generator, and odd factors for places in a shingle.
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -119,6 +122,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int
     return cut(texts.select("key", made(F.col("_text"))["x"].alias("x")))
 
 
+def _meetings(key: F.Column, parts: F.Column) -> F.Column:
+    """The meetings that a row takes part in, if its group is cut by `key` into parts of which each two meet, and each with itself."""
+    own = F.pmod(F.xxhash64(key), parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.least(x, own) * parts + F.greatest(x, own))
+
+
 def _candidates(prints: DataFrame, limit: int, blocks: int, agree: int, leaf: int) -> DataFrame:
     """Edges (a, b) that connect the vertices of all fingerprints that meet in a node and differ in `limit` bits or fewer. prints: f, g."""
     masks = masks_for(blocks, agree)
@@ -130,16 +139,13 @@ def _candidates(prints: DataFrame, limit: int, blocks: int, agree: int, leaf: in
         dealt = spread.withColumn("part", F.lit(0))
     else:  # each part of a large node meets each other part, and itself, in a leaf of its own
         placed = spread.join(F.broadcast(large) if large.count() <= BROADCAST else large, ["m", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod(F.xxhash64("f", "g"), F.col("parts")).cast("int")
-        met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, own) * F.col("parts") + F.greatest(x, own))
-        dealt = placed.withColumn("part", F.explode(met))
+        dealt = placed.withColumn("part", F.explode(_meetings(F.xxhash64("f", "g"), F.col("parts"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(x: np.ndarray) -> pa.RecordBatch:
             new = np.concatenate([[False], (x[1:, :3] != x[:-1, :3]).any(1)])
-            a, b = forest_links(np.cumsum(new), np.ascontiguousarray(x[:, 3:]).view(np.uint64), limit)
-            name = vertex(x[:, 3], x[:, 4])
-            return pa.RecordBatch.from_arrays([pa.array(name[v], pa.int64()) for v in (a, b)], names=["a", "b"])
+            both = forest_links(np.cumsum(new), np.ascontiguousarray(x[:, 3:]).view(np.uint64), vertex(x[:, 3], x[:, 4]), limit)
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in both], names=["a", "b"])
 
         held: list[np.ndarray] = []
         rows, enough = 0, leaf
@@ -191,7 +197,7 @@ def cluster_links(keys: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], s
 
 
 def _linked(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) in clusters of several components; a cluster's sets are in one task. rows: cluster, key, root, x."""
+    """Links (a, b) in clusters of several components. rows: cluster, part, key, root, x; the sets of a (cluster, part) are in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(held: list[tuple]) -> pa.RecordBatch:
@@ -201,8 +207,8 @@ def _linked(rows: DataFrame, similarity: float) -> DataFrame:
 
         now, held = None, []
         for batch in batches:
-            cluster, key, root, x = batch.columns
-            for i, k in enumerate(cluster.to_pylist()):
+            cluster, part, key, root, x = batch.columns
+            for i, k in enumerate(zip(cluster.to_pylist(), part.to_pylist(), strict=True)):
                 if held and k != now:
                     yield links(held)
                     held = []
@@ -211,11 +217,11 @@ def _linked(rows: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield links(held)
 
-    dealt = rows.select("cluster", "key", "root", "x").repartition("cluster").sortWithinPartitions("cluster", "key")
+    dealt = rows.select("cluster", "part", "key", "root", "x").repartition("cluster", "part").sortWithinPartitions("cluster", "part", "key")
     return cut(dealt.mapInArrow(run, "a long, b long"))
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, limit: int = LIMIT, blocks: int = BLOCKS, agree: int = AGREE, leaf: int = LEAF) -> DataFrame:
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, limit: int = LIMIT, blocks: int = BLOCKS, agree: int = AGREE, leaf: int = LEAF, part: int = PART) -> DataFrame:
     """(key, least, root): each distinct set of shingles, its least row (whether the id is null, id, hash of the text), and its component's least key."""
     made = text_function(partial(signature, width=width), "key long, n long, f long, g long", docs.sparkSession)(F.col(text))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), made.alias("s")).select("doc_id", "mark", "s.*")
@@ -234,8 +240,9 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     stars = members.where((F.col("key") != F.col("head.key")) & alike).select(F.col("head.key").alias("a"), F.col("key").alias("b"))
     edges = _verified(stars, sets, similarity)
     placed = members.join(components(edges).withColumnRenamed("node", "key"), "key", "left").select("cluster", "key", F.coalesce("root", "key").alias("root"))
-    apart = placed.groupBy("cluster").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cluster")
-    edges = edges.unionByName(_linked(placed.join(apart, "cluster").join(sets, "key"), similarity))
+    apart = placed.groupBy("cluster").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high").select("cluster", F.ceil(F.col("m") / part).cast("int").alias("parts"))
+    unsettled = placed.join(apart, "cluster").withColumn("part", F.explode(_meetings(F.col("key"), F.col("parts"))))
+    edges = edges.unionByName(_linked(unsettled.join(sets, "key"), similarity))
     roots = components(edges).withColumnRenamed("node", "key")
     return cut(distinct.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
 

@@ -104,7 +104,7 @@ class GrayTree:
             self.last.append(last)
         self.root = np.searchsorted(of, group)  # each group's node on the top level
 
-    def links(self, limit: int = LIMIT, chunk: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links(self, limit: int = LIMIT, chunk: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (i, j), i < j, of fingerprints in a group that differ in `limit` bits or fewer."""
         top = len(self.levels) - 1
         stack = []
@@ -157,8 +157,12 @@ class Forest:
                 up[:] = nearer
 
 
-def forest_links(group: np.ndarray, fps: np.ndarray, limit: int = LIMIT, held: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """(row, row it hangs on) of a spanning forest of the links in each group."""
+def forest_links(group: np.ndarray, fps: np.ndarray, names: np.ndarray, limit: int = LIMIT, held: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(name, name it hangs on) of a spanning forest of the links in each group.
+
+    All hang on the least name of their component, so that the same texts give the same edges in most of the groups
+    in which they meet.
+    """
     fps = fps.reshape(len(fps), -1)
     order = gray_order(fps, group)
     tree, forest = GrayTree(fps[order], group[order]), Forest(len(fps))
@@ -172,8 +176,11 @@ def forest_links(group: np.ndarray, fps: np.ndarray, limit: int = LIMIT, held: i
             pairs, waiting = [], 0
     if pairs:
         forest.join(*map(np.concatenate, zip(*pairs, strict=True)))
-    hangs = np.flatnonzero(forest.up != np.arange(len(fps)))
-    return order[hangs], order[forest.up[hangs]]
+    own = names[order]
+    least = own.copy()
+    np.minimum.at(least, forest.up, own)
+    top = least[forest.up]
+    return own[own != top], top[own != top]
 
 
 # the upper nodes
@@ -198,7 +205,7 @@ def _leaf_edges(rows: DataFrame) -> DataFrame:
 
         def links(x: np.ndarray) -> pa.RecordBatch:
             new = np.concatenate([[False], (x[1:, :2] != x[:-1, :2]).any(1)])
-            a, b = (x[rows, 2] for rows in forest_links(np.cumsum(new), np.ascontiguousarray(x[:, 2]).view(np.uint64)))
+            a, b = forest_links(np.cumsum(new), np.ascontiguousarray(x[:, 2]).view(np.uint64), x[:, 2])
             return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b)], names=["a", "b"])
 
         rows_held, enough = 0, LEAF
@@ -257,10 +264,38 @@ def linked(distinct: DataFrame, leaf: int = LEAF) -> DataFrame:
 # connected components
 
 
+def contracted(edges: DataFrame, held: int = 1 << 20) -> DataFrame:
+    """Fewer edges (a > b) with the same components: all edges of a node meet in a task, which leaves one for each node that is not the least it knows.
+
+    A task holds `held` edges at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(parts: list[np.ndarray]) -> pa.RecordBatch:
+            nodes, at = np.unique(np.concatenate(parts), return_inverse=True)
+            at, forest = at.reshape(-1, 2), Forest(len(nodes))
+            forest.join(at[:, 0], at[:, 1])
+            top = nodes[forest.up]  # nodes are in order: the least place is the least node
+            return pa.RecordBatch.from_arrays([pa.array(x[nodes != top], pa.int64()) for x in (nodes, top)], names=["a", "b"])
+
+        waiting, rows = [], 0
+        for batch in batches:
+            waiting.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1))
+            rows += batch.num_rows
+            if rows >= held:
+                yield settle(waiting)
+                waiting, rows = [], 0
+        if rows:
+            yield settle(waiting)
+
+    ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b"))
+    return ordered.repartition("a").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the least node of each node's component, for all nodes with an edge.
 
-    Alternates large-star and small-star steps, with map-side minima, until the edges stand still; each round
+    Edges are contracted within tasks first. Then alternates large-star and small-star steps, with map-side minima, until the edges stand still; each round
     is cut from its lineage by a checkpoint in the shared folder.
     """
 
@@ -277,7 +312,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def state(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
+    now = cut(contracted(edges).distinct())
     seen = state(now)
     for _ in range(rounds):
         now = cut(stars(stars(now, False), True))
