@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,23 @@ def tokenizer() -> str:
     return os.environ.get("TWINSIFT_SENTENCEPIECE", MODEL)
 
 
+#: Rows of an Arrow batch in these jobs. Spark bounds batches by 64 MB; texts of this kind need less, and workers live long.
+BATCH_ROWS = 1024
+
+
+def job(f):
+    """The job `f` of (spark, …), with small Arrow batches unless the session's owner has said otherwise. Operators leave settings alone."""
+
+    @wraps(f)
+    def run(spark: SparkSession, *rest) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, str(BATCH_ROWS))
+        return f(spark, *rest)
+
+    return run
+
+
 def op3(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return quality_crf.score_quality(docs, quality_crf.learn(docs, table(spark, d, "labels")))
@@ -45,5 +63,6 @@ QUERIES = {
     "op9_media_columns": lambda spark, d: media.media_of_texts(table(spark, d, "documents")),
     "op10_toxicity": op10,
 }
+QUERIES = {name: job(f) for name, f in QUERIES.items()}
 
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.sql(), "op2_chat_format": chat_format.SQL, "op5_mixing": mixing.SQL, "op6_quality_rules": quality_rules.SQL}
