@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinsift.llm import mixing, near_copies, quality_crf, sentencepiece_codec, toxicity
 from twinsift.llm.common import shared_folder, table
-from twinsift.llm.registry import tokenizer
+from twinsift.llm.registry import job, tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +42,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality classifier", quality),
-    ("toxicity", clean),
-    ("simhash near-dedup", unique),
-    ("mixing", mixture),
-    ("sentencepiece", tokens),
+    ("quality classifier", job(quality)),
+    ("toxicity", job(clean)),
+    ("simhash near-dedup", job(unique)),
+    ("mixing", job(mixture)),
+    ("sentencepiece", job(tokens)),
 ]
 
 #: No SQL expresses the fitted classifiers; tests hold each stage against brute force.
