@@ -172,14 +172,15 @@ def pieces(text: str, limit: int = 1 << 20) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, steps: int = 60) -> np.ndarray:
-    """Weights (the last one the bias) of a regularised logistic regression, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, steps: int = 60, each: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last one the bias) of a regularised logistic regression, by Newton's method. `each`: how much each row counts."""
     x = np.c_[x, np.ones(len(x))]
+    each = np.ones(len(y)) if each is None else each * len(y) / each.sum()
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(y) + decay * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (p - y) / len(y) + decay * w)
+        h = (x * (each * p * (1 - p))[:, None]).T @ x / len(y) + decay * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (each * (p - y)) / len(y) + decay * w)
         w -= step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-8:
             break

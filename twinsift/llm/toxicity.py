@@ -33,6 +33,8 @@ WINDOW, PASSAGE, STRIDE, STRETCH, LONGEST = 16, 4, 2, 64, 256
 PASS, REFERENCE = 0.005, 20_000
 #: Compression level, shortest match, and the trainer's parameters (segment of the ordinary and the toxic dictionary, d).
 LEVEL, MATCH, SEGMENTS, D = 12, 4, (64, 12), 8
+#: Orders of the texts that purification is tried with: one may settle on too little of what toxic documents share.
+TRIES = 3
 #: Differences in bytes from which windows are counted.
 STEPS = (1, 2, 3, 4)
 SCHEMA = "score double, predicted int, windows long, flagged long, worst int"
@@ -110,8 +112,8 @@ class Distance:
         ]
 
 
-def purified(ordinary: list[str], toxic: list[str], sizes: tuple[int, ...] = TOXIC) -> bytes:
-    """The toxic dictionary: trained on those passages of toxic documents that other toxic documents explain and ordinary ones do not."""
+def purified(ordinary: list[str], toxic: list[str], sizes: tuple[int, ...] = TOXIC) -> list[bytes]:
+    """Those passages of toxic documents that other toxic documents explain and ordinary ones do not: what trains the toxic dictionary."""
     base = trained([b for t in ordinary[::2] for b in windows(t, STRETCH)], ORDINARY, SEGMENTS[0])
     unseen = [b for t in ordinary[1::2] for b in windows(t, PASSAGE, STRIDE)]
     unseen = unseen[:: max(1, -(-len(unseen) // REFERENCE))]
@@ -124,16 +126,16 @@ def purified(ordinary: list[str], toxic: list[str], sizes: tuple[int, ...] = TOX
             least = max(1.0, float(np.quantile([d.gap(b) for b in unseen] or [0], 1 - PASS)))
             kept[1 - h] = [b for b in passages[1 - h] if d.gap(b) >= least]
         chosen = kept
-    return trained(chosen[0] + chosen[1], sizes[-1], SEGMENTS[1])
+    return chosen[0] + chosen[1]
 
 
 def distance(rows: list[tuple[str, int]], seed: int) -> Distance:
-    """Both dictionaries, of labelled texts; each text counts once, in an order that the seed gives."""
+    """Both dictionaries, of labelled texts; each text counts once. The passages of TRIES orders of the texts are pooled."""
     rng = np.random.default_rng(seed)
     plain, toxic = (sorted({t for t, v in rows if v == k}) for k in (0, 1))
-    plain, toxic = ([texts[i] for i in rng.permutation(len(texts))] for texts in (plain, toxic))
     whole = trained([b for t in plain for b in windows(t, STRETCH)], ORDINARY, SEGMENTS[0])
-    return Distance(whole, purified(plain, toxic))
+    passages = [b for _ in range(TRIES) for b in purified(*([texts[i] for i in rng.permutation(len(texts))] for texts in (plain, toxic)))]
+    return Distance(whole, trained(passages, TOXIC[-1], SEGMENTS[1]))
 
 
 class ToxicityModel:
@@ -146,21 +148,26 @@ class ToxicityModel:
         return p, int(p >= self.threshold), int(round(np.exp(s[-1]))), int(round(np.expm1(s[5 + len(STEPS) + 1]))), int(s[0])
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 5) -> ToxicityModel:
-    """Trains the dictionaries on two thirds of each label's rows and calibrates on the last third, which they have not seen.
+def fit(rows: list[tuple[str, int]], seed: int = 5, held: dict[int, int] | None = None) -> ToxicityModel:
+    """Trains the dictionaries on two thirds of each label's texts and calibrates on the last third, which they have not seen.
 
-    Without both labels in both parts all scores are low.
+    Equal texts of a label count once, so that no copy is on both sides. `held`: how many rows have each label in all;
+    the calibration weighs the sample's labels by it, since a sample takes more of the rare one. Without both labels in
+    both parts all scores are low.
     """
+    rows = sorted(set(rows))
     order = np.random.default_rng(seed).permutation(len(rows))
     by = [[rows[i] for i in order if rows[i][1] == k] for k in (0, 1)]
     train, rest = [r for some in by for k, r in enumerate(some) if k % 3 < 2], [r for some in by for r in some[2::3]]
     if len({v for _, v in rest}) < 2:
         n = 6 + 2 * len(STEPS)
         return ToxicityModel(Distance(b" ", b" "), np.zeros(n), np.ones(n), np.array([0.0] * n + [-4.0]))
+    b = np.array([v for _, v in rest])
+    each = np.array([(held or {}).get(k, (b == k).sum()) / (b == k).sum() for k in (0, 1)])[b]
     d = distance(train, seed)
-    a, b = np.array([d.statistics(t) for t, _ in rest]), np.array([v for _, v in rest])
+    a = np.array([d.statistics(t) for t, _ in rest])
     mean, scale = a.mean(0), a.std(0) + 1e-9
-    return ToxicityModel(d, mean, scale, logistic((a - mean) / scale, b, 1e-3))
+    return ToxicityModel(d, mean, scale, logistic((a - mean) / scale, b, 1e-3, each=each))
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sizes: tuple[int, int] = SAMPLE, seed: int = 5) -> ToxicityModel:
@@ -169,7 +176,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     Rows without id, label or text are not learned from; repeated rows count once; of empty tables the model is the one
     that calls nothing toxic. Other columns are not read.
     """
-    return fit(labelled(docs, labels, label, sizes, seed, doc_id, text), seed)
+    rows = labelled(docs, labels, label, sizes, seed, doc_id, text)
+    free = labels.where(remainder(F.col(doc_id), 3) != 1).groupBy(F.col(label).cast("int").alias("k")).count()
+    return fit(rows, seed, {r["k"]: r["count"] for r in free.where("k IN (0, 1)").collect()})
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
